@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 SIGNATURE_CHARS = 280
 
 
+# The characters that count as whitespace.
+WHITESPACE = (
+    r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+)
+
+
 def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 code units: code points plus one more for each astral character."""
-    astral = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
-    return F.length(text) + astral
+    """Length in UTF-16 code units, in which astral characters count two."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -19,8 +24,8 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Whitespace runs become one blank (no-break space and byte order mark count as whitespace)."""
-    return F.trim(F.regexp_replace(text, r"(?U)[\s﻿]+", " "))
+    """Whitespace runs become one blank."""
+    return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
 def bounded(text: Column, maximum: int = SIGNATURE_CHARS) -> Column:

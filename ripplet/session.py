@@ -25,6 +25,7 @@ def local_session(app: str = "ripplet", cores: int | str = "*", memory: str = "8
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
     )
