@@ -121,9 +121,9 @@ top AS (SELECT * FROM ranked WHERE position <= 100)
 """
 
 
-def customer_ranking(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def customer_ranking(spark, d, with_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     found, seeds = customer_evidence(spark, d)
-    return rank.rank_impact(found, seeds, t.commerce_nodes(spark, d)), found, seeds
+    return rank.rank_impact(found, seeds, t.commerce_nodes(spark, d), with_text=with_text), found, seeds
 
 
 @query("impact_scores", f"WITH {_SCORED} SELECT analysis_id, id, position, score FROM top")
@@ -145,7 +145,7 @@ def risk_levels(spark, d):
     "SELECT analysis_id, id, string_agg(CASE WHEN i = 1 THEN '' WHEN fwd[i - 1] THEN ' -' || types[i - 1] || '-> ' "
     "ELSE ' <-' || types[i - 1] || '- ' END || disp, '' ORDER BY i) AS evidence_text FROM named GROUP BY ALL")
 def evidence_texts(spark, d):
-    return customer_ranking(spark, d)[0].select("analysis_id", "id", "evidence_text")
+    return customer_ranking(spark, d, with_text=True)[0].select("analysis_id", "id", "evidence_text")
 
 
 @query(
