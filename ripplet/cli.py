@@ -12,17 +12,13 @@ from pyspark.sql import SparkSession
 
 from ripplet.plans import analysis as plan
 from ripplet.plans.benchmark import Case, report_markdown, run_benchmark, write_report
-from ripplet.session import SETTINGS, local_session
+from ripplet.session import SETTINGS
 from ripplet.sources.git import commit_of
 from ripplet.sources.store import GraphStore, save_cache
 
 
 def _session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        return active
-    if "SPARK_ENV_LOADED" not in os.environ:
-        return local_session()
+    """The session that spark-submit configured, or a local one."""
     builder = SparkSession.builder.appName("ripplet")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
