@@ -158,9 +158,9 @@ def enclosing(spark, d):
     intervals = lines.select(
         "k", F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("first"),
         (F.col("l_partkey") + F.col("l_quantity").cast("bigint")).alias("last"))
-    points = lines.select("k", (F.col("l_partkey") + 3).alias("at")).distinct().withColumn(
-        "point_id", F.concat_ws(":", "k", "at"))
-    return smallest_enclosing(points, intervals, ["k"])
+    points = lines.select("k", (F.col("l_partkey") + 3).alias("at")).distinct()
+    return smallest_enclosing(points, intervals, ["k"], ["k", "at"]).select(
+        F.concat_ws(":", "k", "at").alias("point_id"), "id")
 
 
 _LINE_FILES = """
