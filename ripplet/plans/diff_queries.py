@@ -138,12 +138,13 @@ def diff_seeds(spark, d):
 
 @query(
     "change_sets",
-    f"WITH {_SEEDS}, cs AS (SELECT {sid("'changeset:docs:HEAD:worktree'")} AS id) "
-    "SELECT cs.id AS source, s.seed_id AS target, 'TOUCHES' AS type, '2 changed files' AS summary FROM settled s, cs")
+    f"WITH {_SEEDS} SELECT {sid("'changeset:docs:HEAD:' || s.doc_id")} AS source, s.seed_id AS target, 'TOUCHES' AS type, "
+    "'2 changed files' AS summary FROM settled s")
 def change_sets(spark, d):
+    """One change set per document: its diff is the step from HEAD to a state named after the document."""
     found, files, _ = document_seeds(spark, d)
-    graph = ops.change_set(files, cut_lineage(found), "docs", key="doc_id")
-    names = graph.nodes.select(F.col("id").alias("source"), "summary").distinct()
+    graph = ops.change_set(files, cut_lineage(found), "docs", "HEAD", F.col("doc_id").cast("string"), key="doc_id")
+    names = graph.nodes.select(F.col("id").alias("source"), "summary")
     return graph.edges.join(names, "source").select("source", "target", "type", "summary")
 
 

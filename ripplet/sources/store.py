@@ -61,7 +61,9 @@ class GraphStore:
         Writing the same graph twice changes nothing but the version. Ids must be safe and unique to
         one key, and edges must have both ends.
         """
-        nodes, edges = conform(graph.nodes, NODE_SCHEMA), conform(graph.edges, EDGE_SCHEMA)
+        # Checked, counted and written: the rows are needed several times.
+        nodes = cut_lineage(conform(graph.nodes, NODE_SCHEMA))
+        edges = cut_lineage(conform(graph.edges, EDGE_SCHEMA))
         assert_safe_ids(nodes)
         assert_no_collisions(nodes)
         lost = unknown_endpoints(Graph(nodes, edges)).head(1)

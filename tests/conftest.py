@@ -14,6 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = local_session("tests", cores=8, memory="6g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.crossJoin.enabled", "false")
     return session
 
 

@@ -68,6 +68,7 @@ def main(argv):
     folder = argv[0]
     names = argv[1:]
     spark = local_session("oracle", cores=8)
+    spark.conf.set("spark.sql.crossJoin.enabled", "false")
     con = connect(folder)
     queries, oracles = e.queries(), e.oracle_sql()
     bad = 0
