@@ -1,7 +1,8 @@
 """Graph tables on shared storage, one version per synchronization of a repository.
 
-A version is complete before its row enters the log, and readers follow the log, so they never see a
-half-written graph. Only the synchronized repositories are rewritten; the others stay where they are.
+Each synchronization writes under its own run id. It is complete before its row enters the log, and readers
+follow the log, so they see neither a half-written graph nor what a failed run left behind. Only the
+synchronized repositories are rewritten; the others stay where they are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplet.functions.ids import assert_no_collisions, assert_safe_ids
 from ripplet.model import EDGE_SCHEMA, NODE_SCHEMA, Graph, conform
@@ -36,16 +38,19 @@ class GraphStore:
             return self.spark.createDataFrame([], LOG_SCHEMA)
 
     def current(self) -> DataFrame:
-        """The valid version of every repository."""
-        return self.log().groupBy("root_hash").agg(F.max("version").alias("version"))
+        """The valid version and run of every repository."""
+        last = self.log().groupBy("root_hash").agg(F.max(F.struct("version", "run_id")).alias("last"))
+        return last.select("root_hash", "last.version", "last.run_id")
 
     def _read(self, name: str, schema) -> DataFrame:
+        # The schema is given: a folder name made of digits must stay a string.
+        full = T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
         try:
-            rows = self.spark.read.parquet(self._at(name))
+            rows = self.spark.read.schema(full).parquet(self._at(name))
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
-        # root_hash and version are folders: the join prunes old versions before any file is opened.
-        return conform(rows.join(self.current(), ["root_hash", "version"], "left_semi"), schema)
+        # root_hash and run_id are folders: the join prunes superseded runs before any file is opened.
+        return conform(rows.join(self.current(), ["root_hash", "run_id"], "left_semi"), schema)
 
     def read(self) -> Graph:
         return Graph(self._read("nodes", NODE_SCHEMA), self._read("edges", EDGE_SCHEMA))
@@ -75,8 +80,8 @@ class GraphStore:
         run_id = uuid.uuid4().hex[:10]
         receipt = self._receipt(nodes, edges, roots)
         for name, rows, split in (("nodes", nodes, "label"), ("edges", edges, "type")):
-            rows.join(versions, "root_hash").write.mode("append").partitionBy("root_hash", "version", split).parquet(
-                self._at(name))
+            rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy(
+                "root_hash", "run_id", split).parquet(self._at(name))
         versions.select("root_hash", "version", F.lit(run_id).alias("run_id")).write.mode("append").json(self._at("log"))
         return receipt
 

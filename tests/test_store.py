@@ -41,6 +41,19 @@ def test_other_repositories_stay(spark, library, tmp_path):
     assert store.read().nodes.filter("label = 'Repository'").count() == 2
 
 
+def test_failed_runs_and_digit_names(spark, library, tmp_path):
+    key = "0000000000001234"
+    graph = Graph(*(df.withColumn("root_hash", F.lit(key)) for df in (library[0].graph.nodes, library[0].graph.edges)))
+    folder = str(tmp_path / "store")
+    store = GraphStore(spark, folder)
+    # A run that died before its log row: its rows are on disk but belong to no version.
+    graph.nodes.withColumn("run_id", F.lit("123")).write.partitionBy("root_hash", "run_id", "label").parquet(folder + "/nodes")
+    assert sizes(store.read()) == (0, 0)
+    store.synchronize(graph)
+    assert sizes(store.read_root(key)) == sizes(graph)
+    assert {r.root_hash for r in store.read().nodes.select("root_hash").distinct().collect()} == {key}
+
+
 def test_broken_graphs_are_refused(spark, library, tmp_path):
     graph = library[0].graph
     store = GraphStore(spark, str(tmp_path / "store"))
