@@ -69,7 +69,8 @@ def run(argv: list[str]) -> int:
     if args.command == "index":
         repo = plan.index_repository(spark, args.repository)
         receipt = store.synchronize(repo.index.graph) if store else None
-        save_cache(repo.index.graph, os.path.join(".ripplet", "cache", repo.root_hash))
+        # Spark would resolve a relative folder against the JVM's start folder.
+        save_cache(repo.index.graph, os.path.abspath(os.path.join(".ripplet", "cache", repo.root_hash)))
         out = {
             "repository": repo.root, "commit": repo.commit, "warnings": repo.warnings,
             "diagnostics": repo.index.diagnostics.head().asDict(),

@@ -144,6 +144,7 @@ def test_command_line(spark, checkout, tmp_path, monkeypatch, capsys):
     assert json.loads(capsys.readouterr().out)["ok"]
     assert cli.run(["index", str(checkout), "--store", str(tmp_path / "s")]) == 0
     shown = json.loads(capsys.readouterr().out)
+    assert len(list((tmp_path / ".ripplet" / "cache").iterdir())) == 1
     assert shown["diagnostics"]["files_scanned"] == len(FILES) and shown["synchronization"][0]["synchronized"]
     assert cli.run(["analyze", str(checkout), "--task", "Change loanLength", "--budget", "1000"]) == 0
     assert "loanLength <-CALLS- lend" in capsys.readouterr().out
