@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplet.llm.benchmark_decontamination import HITS, decontaminate
 from ripplet.llm.ngram_jaccard_join import ngram_jaccard_join
 from ripplet.session import table
 
@@ -47,3 +48,33 @@ FROM sets s JOIN (
 """)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_benchmark_decontamination", r"""
+WITH doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), item AS MATERIALIZED (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), win AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM item WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT n FROM win
+), spot AS MATERIALIZED (
+  SELECT r, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'i': i, 'g': array_to_string(w[i:i + n - 1], ' ')}), recursive := true)
+  FROM doc, lengths WHERE len(w) >= n
+), hit AS MATERIALIZED (
+  SELECT spot.r, spot.i, spot.n, win.item_id FROM spot JOIN win ON win.n = spot.n AND win.g = spot.g
+), marked AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hit GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
+""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, folder, "benchmark")).select("doc_id", *HITS)

@@ -25,9 +25,9 @@ _ORDER = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) | np.u
 
 
 def byte_class(pattern: str) -> np.ndarray:
-    """A table of the bytes whose ASCII characters match `pattern`; bytes from 0x80 always do."""
+    """A table of the bytes whose ASCII-lowered characters match `pattern`; bytes from 0x80 always do."""
     one = re.compile(pattern)
-    return np.array([b >= 0x80 or one.fullmatch(chr(b)) is not None for b in range(256)])
+    return np.array([b >= 0x80 or one.fullmatch(chr(_LOWER[b])) is not None for b in range(256)])
 
 
 SPACED = byte_class(r"[^\x20\x09-\x0D]")
