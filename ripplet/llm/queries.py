@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ripplet.llm.benchmark_decontamination import HITS, decontaminate
 from ripplet.llm.ngram_jaccard_join import ngram_jaccard_join
+from ripplet.llm.quality_classifier import quality_scores
+from ripplet.llm.toxicity import toxicity_scores
 from ripplet.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +80,13 @@ FROM doc LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, folder, "benchmark")).select("doc_id", *HITS)
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
