@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ripplet.llm.benchmark_decontamination import HITS, decontaminate
 from ripplet.llm.ngram_jaccard_join import ngram_jaccard_join
 from ripplet.llm.quality_classifier import quality_scores
+from ripplet.llm.secret_scan import scan_secrets
 from ripplet.llm.toxicity import toxicity_scores
 from ripplet.session import table
 
@@ -90,3 +91,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_toxicity")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
