@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplet.llm.benchmark_decontamination import HITS, decontaminate
+from ripplet.llm.html_extraction import extract_pages
 from ripplet.llm.ngram_jaccard_join import ngram_jaccard_join
 from ripplet.llm.quality_classifier import quality_scores
 from ripplet.llm.secret_scan import scan_secrets
 from ripplet.llm.toxicity import toxicity_scores
+from ripplet.llm.url_filter import filter_urls
 from ripplet.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +98,20 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_secret_scan")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+# Fixed values of the query's contract.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return filter_urls(pages, table(spark, folder, "labels"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
