@@ -78,7 +78,8 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[places[0]:places[-1]], places - places[0]
 
 
-def words_of(texts: pa.Array, table: np.ndarray) -> Words:
+def words_of(texts: pa.Array, table: np.ndarray, exact: bool = False) -> Words:
+    """The words of each text; with `exact` their hashes tell upper from lower case."""
     raw, offsets = raw_bytes(texts)
     total = len(raw)
     inside = table[raw]
@@ -96,7 +97,7 @@ def words_of(texts: pa.Array, table: np.ndarray) -> Words:
         low, high = int(start[k]), int(end[stop - 1])
         up, down = _powers(1 << max(20, (high - low).bit_length()))
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTES[_LOWER[raw[low:high]]] * up[:high - low], out=sums[1:])
+        np.cumsum(_BYTES[raw[low:high] if exact else _LOWER[raw[low:high]]] * up[:high - low], out=sums[1:])
         hashes[k:stop] = mix((sums[end[k:stop] - low] - sums[start[k:stop] - low]) * down[start[k:stop] - low])
         k = stop
     return Words(raw, offsets, hashes, start, end, np.searchsorted(start, offsets).astype(np.int64))
