@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ripplet.llm.benchmark_decontamination import HITS, decontaminate
 from ripplet.llm.html_extraction import extract_pages
 from ripplet.llm.ngram_jaccard_join import ngram_jaccard_join
+from ripplet.llm.posting_lists import nearest_neighbours
 from ripplet.llm.quality_classifier import quality_scores
 from ripplet.llm.secret_scan import scan_secrets
+from ripplet.llm.source_mixing import mix_sources
+from ripplet.llm.token_counts import token_counts
 from ripplet.llm.toxicity import toxicity_scores
 from ripplet.llm.url_filter import filter_urls
 from ripplet.session import table
@@ -115,3 +118,19 @@ URL_RULES = [
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return filter_urls(pages, table(spark, folder, "labels"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_posting_lists")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(table(spark, folder, "embeddings"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op10_source_mixing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mix_sources(docs, keep=["doc_id", "source", "lang"])
