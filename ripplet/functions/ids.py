@@ -35,7 +35,7 @@ def assert_no_collisions(df: DataFrame, id_col: str = "id", key_col: str = "cano
     if clash:
         row = clash[0]
         raise ValueError(
-            f"Deterministic graph ID collision: {row.first_key} and {row.last_key} both map to {row.id}."
+            f"Two keys share the id {row.id}: {row.first_key}, {row.last_key}"
         )
 
 

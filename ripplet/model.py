@@ -84,20 +84,20 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def check_label(label: str) -> str:
     if label not in NODE_LABELS:
-        raise ValueError(f"Unsafe graph identifier: {label}")
+        raise ValueError(f"Not a node label of this model: {label!r}")
     return label
 
 
 def check_type(edge_type: str) -> str:
     if edge_type not in EDGE_TYPES:
-        raise ValueError(f"Unsafe graph identifier: {edge_type}")
+        raise ValueError(f"Not an edge type of this model: {edge_type!r}")
     return edge_type
 
 
 def check_properties(names: list[str]) -> list[str]:
     """Property names that may be written: plain identifiers, each once, in sorted order."""
     if len(set(names)) != len(names) or not all(_PROPERTY.match(n) for n in names):
-        raise ValueError("Unsafe or duplicate property name.")
+        raise ValueError("A property name is repeated or not a plain identifier.")
     return sorted(names)
 
 

@@ -24,9 +24,9 @@ MAX_PATHS = 200
 
 def check_bounds(depth: int, limit: int) -> None:
     if not isinstance(depth, int) or not 1 <= depth <= MAX_DEPTH:
-        raise ValueError("Traversal depth must be an integer from 1 to 3.")
+        raise ValueError("Paths have 1, 2 or 3 steps.")
     if not isinstance(limit, int) or not 1 <= limit <= MAX_PATHS:
-        raise ValueError("Path count must be between 1 and 200.")
+        raise ValueError("A seed has from 1 to 200 paths.")
 
 
 def both_directions(edges: DataFrame, rel_types=TRAVERSED_TYPES) -> DataFrame:

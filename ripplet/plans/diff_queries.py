@@ -109,11 +109,11 @@ met AS (SELECT * FROM (SELECT h.doc_id, h.hunk_ord, h.status, h.start, sy.id, sy
   FROM hunks h JOIN sym sy ON sy.path = h.path AND sy.s <= h.start + greatest(h.count - 1, 0) AND sy.e >= h.start) WHERE rn = 1),
 rest AS (SELECT * FROM doc WHERE doc_id NOT IN (SELECT doc_id FROM met)),
 found AS (SELECT doc_id, hunk_ord AS ord, id AS seed_id, 1.0::DOUBLE AS confidence,
-  status || ' lines ' || start || '-' || stop || ' intersect ' || name || '.' AS reason FROM met
-  UNION ALL SELECT r.doc_id, 0, f.id, 0.9::DOUBLE, r.status || ' file has changes outside an indexed symbol.'
+  name || ': lines ' || start || ' to ' || stop || ' ' || status AS reason FROM met
+  UNION ALL SELECT r.doc_id, 0, f.id, 0.9::DOUBLE, 'no symbol at the changed lines; file ' || r.status
   FROM rest r JOIN filenode f ON f.path = r.path
-  UNION ALL SELECT doc_id, 0, {sid("'file:docs:' || path")}, 0.75::DOUBLE, 'Deleted file ' || path ||
-  ' is unavailable in the current tree; the file-level seed is kept without inventing prior symbols.'
+  UNION ALL SELECT doc_id, 0, {sid("'file:docs:' || path")}, 0.75::DOUBLE, 'gone: ' || path ||
+  '; its symbols are unknown'
   FROM rest WHERE status = 'deleted' AND path NOT IN (SELECT path FROM filenode)),
 settled AS (SELECT doc_id, seed_id, min(ord) AS first_ord, arg_max(confidence, ord) AS confidence,
   arg_max(reason, ord) AS reason FROM found GROUP BY ALL)

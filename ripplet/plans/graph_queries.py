@@ -110,10 +110,11 @@ def stale(spark, d):
 
 @query(
     "edge_upsert",
-    f"WITH {GRAPH}, kept AS (SELECT * FROM nodes WHERE label <> 'Symbol' OR exported IS NULL OR exported), "
-    "good AS (SELECT e.* FROM edges e JOIN kept s ON e.source = s.id JOIN kept t ON e.target = t.id) "
+    f"WITH {GRAPH}, kept AS MATERIALIZED (SELECT * FROM nodes WHERE label <> 'Symbol' OR exported IS NULL OR exported), "
+    "links AS MATERIALIZED (SELECT * FROM edges), "
+    "good AS MATERIALIZED (SELECT e.* FROM links e JOIN kept s ON e.source = s.id JOIN kept t ON e.target = t.id) "
     "SELECT id, type, source, target, 'new' AS version FROM good UNION ALL "
-    "SELECT id, type, source, target, 'old' FROM edges WHERE type = 'DEFINES' AND id NOT IN (SELECT id FROM good)")
+    "SELECT id, type, source, target, 'old' FROM links l WHERE type = 'DEFINES' AND NOT EXISTS (SELECT 1 FROM good g WHERE g.id = l.id)")
 def edge_upsert(spark, d):
     """Incoming edges reach exported symbols only; stored DEFINES edges they do not replace stay."""
     nodes = t.commerce_nodes(spark, d).filter((F.col("label") != "Symbol") | F.coalesce("exported", F.lit(True)))
@@ -125,8 +126,8 @@ def edge_upsert(spark, d):
 @query(
     "detach_delete",
     f"WITH {GRAPH}, gone AS (SELECT id FROM nodes WHERE kind = 'interface') "
-    "SELECT id, type, source, target FROM edges WHERE source NOT IN (SELECT id FROM gone) "
-    "AND target NOT IN (SELECT id FROM gone)")
+    "SELECT id, type, source, target FROM edges l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = l.source) "
+    "AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = l.target)")
 def detach_delete(spark, d):
     nodes = t.commerce_nodes(spark, d)
     graph = Graph(nodes, t.commerce_edges(spark, d))
@@ -152,8 +153,8 @@ def one_hop_match(spark, d):
 @query(
     "unknown_endpoints",
     f"WITH {GRAPH}, kept AS (SELECT id FROM nodes WHERE file_kind IS NULL OR file_kind <> 'declaration') "
-    "SELECT id AS edge_id, source AS missing_id FROM edges WHERE source NOT IN (SELECT id FROM kept) UNION ALL "
-    "SELECT id, target FROM edges WHERE target NOT IN (SELECT id FROM kept)")
+    "SELECT id AS edge_id, source AS missing_id FROM edges l WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.id = l.source) UNION ALL "
+    "SELECT id, target FROM edges l WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.id = l.target)")
 def unknown_endpoints(spark, d):
     nodes = t.commerce_nodes(spark, d).filter(~F.col("file_kind").eqNullSafe("declaration"))
     return graph_ops.unknown_endpoints(Graph(nodes, t.commerce_edges(spark, d)))

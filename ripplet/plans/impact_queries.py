@@ -150,10 +150,10 @@ def evidence_texts(spark, d):
 
 @query(
     "impact_reasons",
-    f"WITH {_SCORED} SELECT analysis_id, id, CASE WHEN is_seed THEN 'Direct change seed; inspect before editing.' ELSE "
-    "hops || '-hop ' || array_to_string(list_transform(list_filter(list_zip(types, range(len(types))), "
-    "lambda x: list_position(types, x[1]) = x[2] + 1), lambda x: x[1]), ' + ') || ' evidence' || CASE WHEN is_test THEN "
-    "' reaches a relevant test' ELSE ' reaches structurally related code' END || '.' END AS reason, "
+    f"WITH {_SCORED} SELECT analysis_id, id, CASE WHEN is_seed THEN 'Part of the change.' ELSE "
+    "'Step ' || hops || ' by ' || array_to_string(list_transform(list_filter(list_zip(types, range(len(types))), "
+    "lambda x: list_position(types, x[1]) = x[2] + 1), lambda x: x[1]), ' + ') || CASE WHEN is_test THEN "
+    "', a test' ELSE '' END || '.' END AS reason, "
     "greatest(24, CAST(ceil(length(coalesce(signature, path, '')) / 4.0) AS BIGINT)) AS estimated_tokens FROM top")
 def impact_reasons(spark, d):
     return customer_ranking(spark, d)[0].select("analysis_id", "id", "reason", "estimated_tokens")
@@ -283,10 +283,7 @@ def _cases(spark, d):
     case = F.concat_ws("/", "lang", "source")
     path = F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".ts"))
     order = Window.partitionBy(case).orderBy(F.desc("n_chars"), "doc_id")
-    # Only the first 50 of a case are ranked, so the window keeps 50 rows per case before the shuffle.
-    results = (
-        docs.select("*", case.alias("case_id"), path.alias("path"), F.row_number().over(order).alias("position"))
-        .filter(F.col("position") <= 50).select("case_id", "path", "position"))
+    results = docs.select(case.alias("case_id"), path.alias("path"), F.row_number().over(order).alias("position"))
     gold = docs.filter(F.col("quality") == 1).select(case.alias("case_id"), path.alias("path"))
     tests = docs.filter(F.col("toxic") == 1).select(path.alias("path"))
     return evaluate.unique_files(results, 20), gold, tests

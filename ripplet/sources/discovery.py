@@ -16,13 +16,13 @@ EXCLUDED_FOLDERS = (
 SOURCE_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
 MAX_BYTES = 2_000_000
 
-NO_PROJECT_FILE = "No tsconfig.json found; a safe TypeScript fallback configuration is assumed."
+NO_PROJECT_FILE = "There is no tsconfig.json; default settings apply."
 
 
 def assert_inside(root: str, candidate: str) -> None:
     relative = os.path.relpath(candidate, root)
     if relative == ".." or relative.startswith(".." + os.sep) or os.path.isabs(relative):
-        raise ValueError(f"Path escapes repository root: {candidate}")
+        raise ValueError(f"Outside of {root}: {candidate}")
 
 
 def _entries(folder: str, root: str):

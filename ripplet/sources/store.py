@@ -31,11 +31,17 @@ class GraphStore:
     def _at(self, name: str) -> str:
         return os.path.join(self.folder, name)
 
+    def _absent(self, error: AnalysisException, schema) -> DataFrame:
+        """No rows where nothing was written yet; any other failure stays one."""
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise error
+        return self.spark.createDataFrame([], schema)
+
     def log(self) -> DataFrame:
         try:
             return self.spark.read.schema(LOG_SCHEMA).json(self._at("log"))
-        except AnalysisException:
-            return self.spark.createDataFrame([], LOG_SCHEMA)
+        except AnalysisException as error:
+            return self._absent(error, LOG_SCHEMA)
 
     def current(self) -> DataFrame:
         """The valid version and run of every repository."""
@@ -47,8 +53,8 @@ class GraphStore:
         full = T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
         try:
             rows = self.spark.read.schema(full).parquet(self._at(name))
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as error:
+            return self._absent(error, schema)
         # root_hash and run_id are folders: the join prunes superseded runs before any file is opened.
         return conform(rows.join(self.current(), ["root_hash", "run_id"], "left_semi"), schema)
 

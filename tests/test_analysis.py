@@ -111,8 +111,8 @@ def test_symbol_tool_and_limits(spark, checkout):
     out = plan.explain_symbol_impact(spark, str(checkout), "StandardRule", 1000, 1)
     # The quoted symbol and its own members all score one; the symbol itself is a direct seed.
     rows = {r["symbol"]: r for r in out["analysis"]["recommendations"]}
-    assert rows["StandardRule"]["reason"].startswith("Direct change seed") and out["analysis"]["depth"] == 1
-    with pytest.raises(ValueError, match="No change seeds"):
+    assert rows["StandardRule"]["reason"].startswith("Part of the change") and out["analysis"]["depth"] == 1
+    with pytest.raises(ValueError, match="Nothing to start from"):
         plan.get_change_context(spark, str(checkout), "zzz qqq")
     for bad in (dict(task=""), dict(task="x", token_budget=10), dict(task="x", maximum_depth=4)):
         with pytest.raises(ValueError):
@@ -134,7 +134,7 @@ def test_benchmark(spark, library, tmp_path):
     assert rows["length"].lexical_recall == 0.333 and rows["length"].graph_recall == 1.0
     assert rows["settings"].graph_recall == 1.0 and rows["length"].graph_tokens <= 2000
     write_report(report, str(tmp_path))
-    assert "| length | 6 | 0.333 | 1.000 |" in report_markdown(report)
+    assert "length: first 6 files; recall 1.000 by graph, 0.333 by words" in report_markdown(report)
     assert json.loads((tmp_path / "report.json").read_text())["summary"]["cases"] == 2
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from ripplet.operators.guard import client_id, rate_limit
-from ripplet.streaming.guard import GuardState, limit_clients, limit_guards
+from ripplet.streaming.guard import limit_clients, limit_guards
 
 SECOND = 1_000_000
 
@@ -45,22 +45,6 @@ def test_window_reset(spark):
     assert [rows[i].allowed for i in (1, 2, 3, 4)] == [True, True, False, True] and rows[3].retry_after == 10
 
 
-def test_concurrency_and_order_of_checks():
-    guard = GuardState()
-    ask = lambda client, at: guard.acquire(client, at, 2, 10 * SECOND, 1)
-    assert ask("a", 0) == (True, None, None)
-    assert ask("b", 0) == (False, "busy", 5)
-    guard.release()
-    guard.release()
-    assert ask("b", 1)[0] and guard.active == 1
-    guard.release()
-    assert ask("a", 2)[0]
-    # The rate is tried before the place, and the busy denial of b used up nothing.
-    assert ask("a", 3) == (False, "rate-limit", 10) and ask("b", 3) == (False, "busy", 5)
-    guard.release()
-    assert ask("b", 4)[0]
-
-
 def test_client_ids(spark):
     rows = [(" 1.2.3.4 ", "9.9.9.9"), (None, " 8.8.8.8 , 7"), ("", ""), (None, None), (" ", "x" * 200)]
     df = spark.createDataFrame(rows, "d string, f string")
@@ -98,3 +82,14 @@ def test_stream_of_guards(spark, tmp_path):
                  lambda s: limit_guards(s, 6, 10 * SECOND), "guards")
     # Request 2 was denied, so its release frees nothing; guard h has its own place.
     assert {k: v[:2] for k, v in got.items()} == {1: (True, None), 2: (False, "busy"), 3: (True, None), 4: (True, None)}
+
+
+def test_rate_is_tried_before_the_place(spark, tmp_path):
+    """Within a guard: a busy denial uses up no request, a second release frees nothing more."""
+    events = [("g", "p", 0, 1, "acquire"), ("g", "q", 1, 2, "acquire"), ("g", "p", 2, 1, "release"), ("g", "p", 3, 1, "release"),
+              ("g", "q", 4, 3, "acquire"), ("g", "q", 5, 3, "release"), ("g", "p", 6, 4, "acquire"), ("g", "p", 7, 5, "acquire"),
+              ("g", "q", 8, 6, "acquire"), ("g", "p", 9, 4, "release"), ("g", "q", 10, 7, "acquire")]
+    got = stream(spark, tmp_path, [events], "guard string, client string, at bigint, request_id bigint, event string",
+                 lambda s: limit_guards(s, 2, 10 * SECOND), "order")
+    assert {k: v[1] for k, v in got.items()} == {1: None, 2: "busy", 3: None, 4: None, 5: "rate-limit", 6: "busy", 7: None}
+    assert got[5][2] == 10 and got[2][2] == 5

@@ -60,7 +60,7 @@ def test_broken_graphs_are_refused(spark, library, tmp_path):
     with pytest.raises(ValueError, match="unknown endpoint"):
         store.synchronize(Graph(graph.nodes.filter("label <> 'Repository'"), graph.edges))
     twin = graph.nodes.filter("label = 'Repository'").withColumn("canonical_key", F.lit("repository:twin"))
-    with pytest.raises(ValueError, match="collision"):
+    with pytest.raises(ValueError, match="share the id"):
         store.synchronize(Graph(graph.nodes.unionByName(twin), graph.edges))
     assert sizes(store.read()) == (0, 0)
 
