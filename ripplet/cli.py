@@ -9,6 +9,7 @@ import sys
 import traceback
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ripplet.plans import analysis as plan
 from ripplet.plans.benchmark import Case, report_markdown, run_benchmark, write_report
@@ -37,6 +38,7 @@ def _parser() -> argparse.ArgumentParser:
     parser.add_argument("--cases", help="JSON list of {id, task, k, gold} for the benchmark")
     parser.add_argument("--store", help="folder of the graph tables")
     parser.add_argument("--artifacts", default=os.path.join("generated", "latest"))
+    parser.add_argument("--show", type=int, default=12, help="how many recommendations to print")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--verbose", action="store_true")
     return parser
@@ -98,7 +100,7 @@ def run(argv: list[str]) -> int:
     print(f"Analyzed {result.repository.root}")
     print(f"Seeds: {s['seeds']} · Recommendations: {s['recommendations']} · High risk: {s['high_risk']}")
     print(f"Graph: {s['nodes']} nodes / {s['edges']} edges · Context: {s['estimated_tokens']}/{args.budget} estimated tokens")
-    for r in result.impact.recommendations.filter("position <= 12").orderBy("position").collect():
+    for r in result.impact.recommendations.filter(F.col("position") <= args.show).orderBy("position").collect():
         where = f":{r.start_line} {r.symbol}" if r.symbol else ""
         print(f"{r.risk:<6} {r.score:.3f}  {r.path}{where}\n       {r.evidence_text}")
     print(f"Artifacts: {args.artifacts}")

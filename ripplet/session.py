@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE picks partition counts, join strategies and skew splits from runtime sizes. No broadcast
 # hint appears in this package: a side is broadcast only when its measured size allows it.
+_SHIPPED: set[str] = set()
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -36,8 +38,24 @@ def local_session(app: str = "ripplet", cores: int | str = "*", memory: str = "8
     return spark
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a cluster, once for each application."""
+    context = spark.sparkContext
+    if on_one_machine(spark) or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    top = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="ripplet-"), "ripplet")  # on the driver; Spark copies it to each worker
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(top), os.path.basename(top)))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is configured."""
+    """The shared folder named by the session; a temporary one only on a single machine, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured:
@@ -45,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not on_one_machine(spark):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ripplet-checkpoint-"))
     return spark.sparkContext.getCheckpointDir() or ""
 
@@ -56,4 +76,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
