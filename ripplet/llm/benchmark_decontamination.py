@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplet.llm.words import ALPHANUMERIC, Words, gram_hashes, pieces, words_of
+from ripplet.llm.words import ALPHANUMERIC, Words, gram_hashes, pieces, small_batches, words_of
 
 FILTER_BITS = 20
 HITS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -144,6 +144,7 @@ def decontaminate(
 ) -> DataFrame:
     """`docs` with n_words, n_hit, n_items, items_sha256 and contaminated; with `clean` also clean_text."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     items = items.where(F.length("text") > 0)
     total, longest = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()

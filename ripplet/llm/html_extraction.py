@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.words import pieces
+from ripplet.llm.words import pieces, small_batches
 
 # HTML's element classes, and the names by which pages mark what is not the article.
 BLOCKS = set(
@@ -217,6 +217,7 @@ def _extract(batches):
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """`pages` without the html column, with text and n_chars (these names are replaced)."""
+    small_batches(pages.sparkSession)
     kept = pages.select(*[c for c in pages.columns if c not in ("text", "n_chars", html_col)], F.col(html_col).cast("string").alias("html"))
     schema = kept.drop("html").withColumns({"text": F.lit("").cast("string"), "n_chars": F.lit(0).cast("bigint")}).schema
     return kept.mapInArrow(_extract, schema)

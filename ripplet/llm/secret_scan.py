@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.words import pieces, raw_bytes
+from ripplet.llm.words import pieces, raw_bytes, small_batches
 
 # Fixed patterns of the contract.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -193,6 +193,7 @@ RESULTS = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", redact: bool = False, mark: str = "[secret]") -> DataFrame:
     """`docs` with n_assign, n_access, n_hex, base_sha256 and spans; with `redact` the text has `mark` for every span."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in RESULTS]
     zero, empty = F.lit(0).cast("bigint"), F.lit("")
     state = docs.select(*[c for c in kept if c != text_col], F.col(text_col).cast("string").alias("text__")).withColumns(

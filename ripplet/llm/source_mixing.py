@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.words import SPACED, pieces, words_of
+from ripplet.llm.words import SPACED, pieces, small_batches, words_of
 from ripplet.session import cut_lineage
 
 RESULTS = ["topic", "n_tokens", "factor", "probability", "kept"]
@@ -52,6 +52,7 @@ def _profile(topics: int, through: bool):
 
 def profiled(docs: DataFrame, keep: list[str], text_col: str = "text", topics: int = 8) -> DataFrame:
     """`keep` columns of `docs` with topic and n_tokens."""
+    small_batches(docs.sparkSession)
     through = text_col in keep
     state = docs.select(*[F.col(c) for c in keep if c != text_col], F.col(text_col).cast("string").alias("text__"))
     rest = state if through else state.drop("text__")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.words import SPACED, pieces, words_of
+from ripplet.llm.words import SPACED, pieces, small_batches, words_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 KEPT = 1 << 19
@@ -104,7 +104,7 @@ def _count(automaton):
         read = automaton.value.count
         known = np.zeros(0, np.uint64)
         counts = np.zeros(0, np.int64)
-        for batch in pieces(batches, "text__", 16 << 20):
+        for batch in pieces(batches, "text__", 4 << 20):
             words = words_of(batch["text__"], SPACED, exact=True)
             own, first, at = np.unique(words.hashes, return_index=True, return_inverse=True)
             place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
@@ -130,6 +130,7 @@ def _count(automaton):
 
 def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """`docs` without the text column, with n_words and n_tokens."""
+    small_batches(docs.sparkSession)
     automaton = docs.sparkSession.sparkContext.broadcast(LongestMatch(read_vocabulary(vocabulary)))
     kept = docs.select(*[c for c in docs.columns if c not in ("n_words", "n_tokens", text_col)], F.col(text_col).cast("string").alias("text__"))
     zero = F.lit(0).cast("bigint")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.llm.quality_classifier import held_out
-from ripplet.llm.words import ALPHANUMERIC, SPACED, Words, pieces, words_of
+from ripplet.llm.words import ALPHANUMERIC, SPACED, Words, pieces, small_batches, words_of
 from ripplet.session import cut_lineage
 
 # Which letters a look-alike may stand for.
@@ -296,6 +296,7 @@ def toxicity_scores(
 ) -> DataFrame:
     """(id, held_out, score, predicted) for every row of `docs`; rows of the fold are never learned from."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     own = own.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"), folds, fold))

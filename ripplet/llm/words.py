@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 PIECE = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,7 +122,18 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(gram_hashes(hashes, min(size, len(hashes))))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Let Spark hand texts to Python in batches of at most `limit` bytes (a longer text stays alone).
+
+    Its own bound of 64 MB is held several times over, in the JVM and in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    current = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
+    if current is None or int(current[1]) > limit:
+        spark.conf.set(key, f"{limit}b")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose `column` holds about `limit` bytes (a longer text stays alone)."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
