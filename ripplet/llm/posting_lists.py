@@ -68,9 +68,9 @@ def balanced_centroids(x: np.ndarray, size: int) -> np.ndarray:
 
 
 class CentroidGraph:
-    """Centroids linked to their nearest; entries spread over all of them so that no walk starts far away."""
+    """Centroids linked to their nearest and to a few drawn at random, so that far apart clusters stay connected."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 24, entries: int = 32):
+    def __init__(self, centroids: np.ndarray, degree: int = 24, entries: int = 32, random: int = 8):
         self.centroids = centroids
         n = len(centroids)
         norms = (centroids ** 2).sum(1)
@@ -82,6 +82,8 @@ class CentroidGraph:
             if self.links.shape[1]:
                 near = np.argpartition(far, self.links.shape[1] - 1, axis=1)[:, :self.links.shape[1]]
                 self.links[rows] = near
+        if n > degree:
+            self.links = np.concatenate((self.links, np.random.default_rng(9).integers(0, n, (n, random), np.int32)), axis=1)
         self.entry = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(int))
 
     def near(self, vector: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +172,32 @@ def nearest_in(queries: np.ndarray, x: np.ndarray, k: int) -> tuple[list[np.ndar
     return out, far
 
 
-def _search(k: int, chunk: int = 4096):
-    """One block of one list: its entries (with ids) stand with its queries (without)."""
+def best_of(query: np.ndarray, vec_id: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best distinct candidates of each query."""
+    order = np.lexsort((vec_id, score, query))
+    query, vec_id, score = query[order], vec_id[order], score[order]
+    fresh = np.ones(len(query), bool)
+    fresh[1:] = (query[1:] != query[:-1]) | (vec_id[1:] != vec_id[:-1])
+    query, vec_id, score = query[fresh], vec_id[fresh], score[fresh]
+    first = np.searchsorted(query, query)
+    keep = np.arange(len(query)) - first < k
+    return query[keep], vec_id[keep], score[keep]
+
+
+def _search(k: int, chunk: int = 4096, held: int = 1 << 18):
+    """One block of one list at a time: its entries (with ids) stand with its queries (without).
+
+    The best k + 1 of each query so far are held, so a task gives them once and not for each list;
+    with more than `held` of them they are given out and begun anew.
+    """
     def run(batches):
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found: list[tuple] = []
+        count = 0
+
+        def merged():
+            return best_of(*(np.concatenate(c) for c in zip(best, *found)), k + 1)
+
         for table in runs(batches, ["dim", "list", "block"]):
             asked = table["ids"].is_null().to_numpy()
             if not asked.any() or asked.all():
@@ -180,22 +205,27 @@ def _search(k: int, chunk: int = 4096):
             vectors = _matrix(table["vector"])
             entries, ids = vectors[~asked], [i for i in table["ids"].to_pylist() if i is not None]
             names = table["entry"].to_numpy()[asked]
-            found = {"query": [], "vec_id": [], "score": []}
             for at in range(0, len(names), chunk):
                 rows, far = nearest_in(vectors[asked][at:at + chunk], entries, k + 1)
                 for name, r, d in zip(names[at:at + chunk].tolist(), rows, far):
-                    best = sorted((s, i) for j, s in zip(r.tolist(), d.tolist()) for i in ids[j])[:k + 1]
-                    found["query"] += [name] * len(best)
-                    found["vec_id"] += [i for _, i in best]
-                    found["score"] += [s for s, _ in best]
-            yield pa.RecordBatch.from_arrays([pa.array(found["query"], pa.int64()), pa.array(found["vec_id"], pa.int64()), pa.array(found["score"], pa.float64())], names=list(found))
+                    top = sorted((s, i) for j, s in zip(r.tolist(), d.tolist()) for i in ids[j])[:k + 1]
+                    found.append((np.full(len(top), name), np.array([i for _, i in top]), np.array([s for s, _ in top])))
+                    count += len(top)
+                if count > held:
+                    best, found, count = merged(), [], 0
+                    if len(best[0]) > held:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query", "vec_id", "score"])
+                        best = tuple(c[:0] for c in best)
+        best = merged() if found else best
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query", "vec_id", "score"])
 
     return run
 
 
 def nearest_neighbours(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, list_size: int = 256,
-    most_fitted: int = 100_000, most_lists: int = 16_384, closure: float = 1.2, copies: int = 8, reach: float = 1.15, probes: int = 512,
+    most_fitted: int = 100_000, most_lists: int = 16_384, closure: float = 1.2, copies: int = 8, reach: float = 1.2, probes: int = 512,
     block: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all rows."""
