@@ -43,23 +43,26 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the smallest node it reaches.
 
-    Each round joins every node to its smallest neighbour and contracts, so the number of links
-    shrinks geometrically; a node with very many links is one row after the partial minimum.
+    Each round every node steps to its smallest neighbour, steps are followed to their ends by
+    doubling, and the links are contracted, so chains and stars alike shrink to a few rounds; a node
+    with very many links is one row after the partial minimum.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut_lineage(links.select("a", "b").where("a <> b").distinct())
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     while not edges.isEmpty():
         nearest = both(edges).groupBy("a").agg(F.min("b").alias("b"))
-        step = nearest.select(F.col("a").alias("from"), F.least("a", "b").alias("to"))
-        far = step.select(F.col("from").alias("to"), F.col("to").alias("next"))
-        step = cut_lineage(step.join(far, "to", "left").select("from", F.coalesce("next", "to").alias("to")))
-        labels = cut_lineage(
-            labels.join(step.withColumnRenamed("from", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        )
+        step = cut_lineage(nearest.select(F.col("a").alias("from"), F.least("a", "b").alias("to")))
+        while True:
+            far = step.select(F.col("from").alias("to"), F.col("to").alias("next"))
+            longer = cut_lineage(step.join(far, "to").select("from", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            step = longer.select("from", "to")
+            if longer.where("moved").isEmpty():
+                break
+        labels = labels.join(step.withColumnRenamed("from", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         edges = cut_lineage(
             edges.join(step.select(F.col("from").alias("a"), F.col("to").alias("x")), "a")
             .join(step.select(F.col("from").alias("b"), F.col("to").alias("y")), "b")
             .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
-    return labels
+    return cut_lineage(labels)
