@@ -32,6 +32,7 @@ from ripplet.session import cut_lineage
 
 RESULTS = ["topic", "n_tokens", "factor", "probability", "kept"]
 LONGER = 6
+MOST_CELLS = 200_000
 
 
 def _profile(topics: int, through: bool):
@@ -115,12 +116,14 @@ def mix_sources(
     dims = list(keys)
     cells = rows.select(*[k.alias(d) for d, k in keys.items()], "n_tokens").groupBy(*dims).agg(F.sum("n_tokens").alias("n_tokens"))
     factors = rake(cut_lineage(cells), dims, given, temper)
-    top, mass, total = factors.agg(F.max("factor"), F.sum(F.col("factor") * F.col("n_tokens")), F.sum("n_tokens")).first()
+    count, top, mass, total = factors.agg(F.count("*"), F.max("factor"), F.sum(F.col("factor") * F.col("n_tokens")), F.sum("n_tokens")).first()
     scale = min(1 / top, most * total / mass) if top else 0.0
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
     narrow = set(kept) <= {id_col, source_col, lang_col}
     out = rows if narrow else profiled(docs, [*dict.fromkeys([*kept, id_col, source_col, lang_col])], text_col, topics)
     chances = factors.select(*[F.col(d).alias(f"key_{d}") for d in dims], "factor")
+    if count <= MOST_CELLS:  # some 20 MB; more cells meet their documents in a shuffle
+        chances = F.broadcast(chances)
     out = out.join(chances, [value_key(F.col({"source": source_col, "lang": lang_col, "topic": "topic"}[d])) == F.col(f"key_{d}") for d in dims])
     return out.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * scale)).withColumn("kept", draw < F.col("probability")).select(
         *kept, *RESULTS,
