@@ -85,8 +85,18 @@ def hits_of(words: Words, windows: Windows) -> tuple[np.ndarray, list[set[str]]]
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def _scan(windows):
-    """Adds the hits of one table of windows to those found before: runs of hit words and item names."""
+def without_hits(words: Words, i: int, runs: list[list[int]]) -> str:
+    """Text i without its hit words and what stands between words of one hit run."""
+    at, first, parts = int(words.offsets[i]), int(words.first[i]), []
+    for a, b in runs:
+        parts.append(words.raw[at:words.start[first + a]].tobytes())
+        at = int(words.end[first + b - 1])
+    parts.append(words.raw[at:int(words.offsets[i + 1])].tobytes())
+    return b"".join(parts).decode()
+
+
+def _scan(windows, last: bool, clean: bool):
+    """Adds the hits of one table of windows to those found before; the last scan writes the results."""
     def run(batches):
         table = windows.value
         for batch in pieces(batches, "text__"):
@@ -105,39 +115,17 @@ def _scan(windows):
                 "runs__": pa.array(runs, pa.list_(pa.list_(pa.int64()))), "items__": pa.array(names, pa.list_(pa.string())),
                 "words__": pa.array(np.diff(words.first), pa.int64()),
             }
+            if last:
+                new["n_hit"] = pa.array([sum(b - a for a, b in r) for r in runs], pa.int64())
+                new["items_sha256"] = pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string())
+            if last and clean:
+                valid = batch["text__"].is_valid().to_pylist()
+                new["clean_text"] = pa.array([without_hits(words, i, r) if valid[i] else None for i, r in enumerate(runs)], pa.string())
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(k)) for k, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
     return run
 
 
-def _finish(clean: bool):
-    """Digest columns and, on demand, the text without its hit words (and what stands between words of one hit run)."""
-    def run(batches):
-        for batch in pieces(batches, "text__"):
-            words = words_of(batch["text__"], ALPHANUMERIC) if clean else None
-            n_hit, digest, cleaned = [], [], []
-            for i, (runs, names) in enumerate(zip(batch["runs__"].to_pylist(), batch["items__"].to_pylist())):
-                n_hit.append(sum(b - a for a, b in runs))
-                digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-                if not clean:
-                    continue
-                at, parts = int(words.offsets[i]), []
-                for a, b in runs:
-                    first = int(words.first[i])
-                    parts.append(words.raw[at:words.start[first + a]].tobytes())
-                    at = int(words.end[first + b - 1])
-                parts.append(words.raw[at:int(words.offsets[i + 1])].tobytes())
-                cleaned.append(b"".join(parts).decode())
-            new = {"n_hit": pa.array(n_hit, pa.int64()), "items_sha256": pa.array(digest, pa.string())}
-            if clean:
-                new["clean_text"] = pa.array([c if x else None for x, c in zip(batch["text__"].is_valid().to_pylist(), cleaned)], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [new.get(n, batch.column(k)) for k, n in enumerate(batch.schema.names)], names=batch.schema.names,
-            )
-
-    return run
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     size: int = 10, pass_bytes: int = 16 << 20, clean: bool = False,
@@ -157,15 +145,15 @@ def decontaminate(
     state = kept.withColumn("text__", F.col(text_col).cast("string")).drop(text_col).withColumns({
         "runs__": F.lit(None).cast("array<array<bigint>>"),
         "items__": F.lit(None).cast("array<string>"), "words__": F.lit(0).cast("bigint"),
+        "n_hit": F.lit(0).cast("bigint"), "items_sha256": F.lit(""), "clean_text": F.lit(""),
     })
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in state.schema])
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else items
         rows = part.toArrow()
         table = window_table(rows["item"].to_pylist(), rows["text"].to_pylist(), size)
-        state = state.mapInArrow(_scan(spark.sparkContext.broadcast(table)), state.schema)
-    state = state.withColumns({"n_hit": F.lit(0).cast("bigint"), "items_sha256": F.lit(""), "clean_text": F.lit("")})
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in state.schema])
-    done = state.mapInArrow(_finish(clean), schema).select(
+        state = state.mapInArrow(_scan(spark.sparkContext.broadcast(table), k == passes - 1, clean), schema)
+    done = state.select(
         *[F.col("text__").alias(c) if c == text_col else F.col(c) for c in kept.columns], F.col("words__").alias("n_words"), "n_hit", F.size("items__").cast("bigint").alias("n_items"),
         "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "clean_text",
     )
