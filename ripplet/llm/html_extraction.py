@@ -5,7 +5,8 @@ A page becomes blocks: runs of text between block-level tags, each with its path
 blocks and divided by their number; links count against it, and what a path says about itself
 (article, content; menu, advert, comments) is a factor. The ratios are smoothed over similar paths
 (a Gaussian of the tag edit distance) and thresholded; the content node is the deepest path above
-the selected text, and all its blocks but the unwanted ones are returned in page order.
+nearly all selected text. Its blocks, those in marked containers and those above the threshold, all
+but the unwanted ones, are returned in page order.
 
 Per block: character references are decoded, white space becomes one space, ends are trimmed; empty
 blocks vanish; blocks are joined by two line ends. Nothing is cut.
@@ -63,7 +64,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
         name += "." + ".".join(labels)
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
     unwanted = tag in UNWANTED_TAGS or hidden or own.get("role", "").lower() in UNWANTED_ROLES
-    wanted = tag in ("article", "main") or bool(words & WANTED_NAMES)
+    wanted = tag in ("article", "main") or tag not in ("body", "html") and bool(words & WANTED_NAMES)
     if tag not in ("article", "main", "body", "html"):
         unwanted |= bool(words & UNWANTED_NAMES)
     return name, unwanted, wanted
@@ -185,12 +186,12 @@ def main_text(page: str | None) -> str:
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     top = max(ratio[b.path] for b in usable)
-    chosen = [b for b in usable if ratio[b.path] >= min(spread, top)]
-    node = content_node(chosen, usable)
-    return "\n\n".join(b.text for b in usable if b.path[:len(node)] == node)
+    least = min(spread, top)
+    node = content_node([b for b in usable if ratio[b.path] >= least])
+    return "\n\n".join(b.text for b in usable if b.wanted or ratio[b.path] >= least or b.path[:len(node)] == node)
 
 
-def content_node(chosen: list[Block], usable: list[Block]) -> tuple:
+def content_node(chosen: list[Block]) -> tuple:
     """The deepest path that has nearly all chosen text below it, if marked ones are among it only in marked containers."""
     pool = [b for b in chosen if b.wanted] or chosen
     total = sum(len(b.text) for b in pool)

@@ -20,6 +20,17 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("times", [1, 200])
+@pytest.mark.parametrize("page", [
+    "<nav>n</nav><article><h1>Title</h1><p>Lead, short.</p><div class=body><p>{}</p></div><p>Closing.</p></article><div class=sidebar>s</div>",
+    "<body class=main><div class=left>Other</div><main><section id=a><p>Title</p><p>Lead, short.</p></section><section id=b><p>{}</p></section><section id=c><p>Closing.</p></section></main>",
+    "<div id=content><h1>Title</h1><div id=intro>Lead, short.</div><div class=body><div><p>{}</p></div></div><div id=end>Closing.<aside>no</aside></div></div><footer>f</footer>",
+])
+def test_what_stands_beside_a_long_body_stays(page, times):
+    body = ("A sentence of the body, with words; and more of them. " * times).strip()
+    assert main_text(page.format(body)) == "\n\n".join(["Title", "Lead, short.", body, "Closing."])
+
+
 def test_extract_pages(spark):
     data = [(1, "u", f"<article>{ARTICLE}</article>", "old", 3), (1, None, None, None, None), (None, "u", "<p>" + "long " * 100_000 + "</p>", "x", 1)]
     found = extract_pages(spark.createDataFrame(data, "page_id long, url string, html string, text string, lang int"))
