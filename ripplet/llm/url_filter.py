@@ -17,11 +17,15 @@ mined. Rows with repeated ids are judged each on its own. Other columns are unto
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplet.session import cut_lineage
+
 BLOCK = "label=block"
 
 
@@ -60,11 +64,11 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, longest: int = 4, most_rules: int = 10_000,
+    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, longest: int = 4,
 ) -> list[tuple[frozenset[str], float]]:
-    """(tokens, confidence) of the pruned rules for block, best first; `labelled` has tokens and block (boolean).
+    """(tokens, confidence) of the pruned rules for block, short ones first; `labelled` has tokens and block (boolean).
 
-    At most `most_rules` rules, a documented pruning parameter, reach the driver.
+    Redundant rules go before any reach the driver; how many are left is bounded by `min_support` and `longest`.
     """
     baskets = labelled.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
     blocked, total = labelled.agg(F.count_if("block"), F.count("*")).first()
@@ -74,24 +78,23 @@ def mine_rules(
     least = max(1.0, min_support * total)
     useful = (
         labelled.where("block").select(F.explode("tokens").alias("token")).groupBy("token").count()
-        .where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most_rules).select("token")
+        .where(F.col("count") >= least).select("token")
     )
-    names = [r[0] for r in useful.collect()]
+    names = sorted(r[0] for r in useful.collect())
     if not names:
         return []
     keep = F.array(*[F.lit(t) for t in names + [BLOCK]])
     baskets = baskets.select(F.array_intersect("items", keep).alias("items")).where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = (
-        model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= longest))
-        .where(F.col("lift") > 1).orderBy(F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " "))
-        .limit(most_rules).select("antecedent", "confidence").collect()
+    rules = cut_lineage(
+        model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= longest)).where(F.col("lift") > 1)
+        .select(F.array_sort("antecedent").alias("tokens"), "confidence")
     )
-    kept: list[tuple[frozenset[str], float]] = []
-    for tokens, confidence in sorted(((frozenset(r[0]), r[1]) for r in rules), key=lambda r: (len(r[0]), -r[1], sorted(r[0]))):
-        if not any(short <= tokens and sure >= confidence for short, sure in kept):
-            kept.append((tokens, confidence))
-    return kept
+    shorter = lambda tokens: [list(c) for n in range(1, len(tokens)) for c in combinations(tokens, n)]
+    parts = rules.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode(F.udf(shorter, "array<array<string>>")("tokens")).alias("part"))
+    implied = parts.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure")), "part").where("sure >= confidence")
+    kept = rules.join(implied.select("tokens").distinct(), "tokens", "left_anti").collect()
+    return sorted(((frozenset(r[0]), r[1]) for r in kept), key=lambda r: (len(r[0]), -r[1], sorted(r[0])))
 
 
 def _match(rules):

@@ -1,7 +1,10 @@
+import random
+from itertools import combinations
+
 import pytest
 
 from ripplet.llm.html_extraction import extract_pages, main_text
-from ripplet.llm.url_filter import filter_urls
+from ripplet.llm.url_filter import filter_urls, mine_rules
 
 ARTICLE = "<p>First, a longer sentence with words; and more of them.</p><p>Second &amp; last:\n  one <b>bold</b> word &lt;here&gt;.</p>"
 TEXT = "First, a longer sentence with words; and more of them.\n\nSecond & last: one bold word <here>."
@@ -68,3 +71,25 @@ def test_mined_rules(spark):
     found = filter_urls(pages(spark, urls + [None]), spark.createDataFrame(labels, LABELS), [], min_confidence=0.9).collect()
     assert {r["page_id"] for r in found if r["verdict"] == "block"} == {k for k in range(210) if k % 3 == 0}
     assert all((r["block_confidence"] >= 0.9) == (r["verdict"] == "block") for r in found)
+
+
+def test_rules_are_pruned_and_none_is_cut(spark):
+    draw = random.Random(5)
+    data = [([t for t in "abcdef" if draw.random() < 0.5] + ["z"], draw.random() < 0.4) for _ in range(300)]
+    found = mine_rules(spark.createDataFrame(data, "tokens array<string>, block boolean"), 0.01, 0.3)
+    every = {}
+    for n in range(1, 5):
+        for c in combinations("abcdefz", n):
+            held = [block for tokens, block in data if set(c) <= set(tokens)]
+            if sum(held) >= 3 and sum(held) / len(held) >= 0.3 and sum(held) / len(held) > sum(b for _, b in data) / len(data):
+                every[frozenset(c)] = sum(held) / len(held)
+    wanted = {r: s for r, s in every.items() if not any(o < r and t >= s for o, t in every.items())}
+    assert dict(found) == pytest.approx(wanted) and 5 <= len(wanted) < len(every)
+
+
+def test_a_hot_host_leaves_rules_of_other_hosts(spark):
+    urls = [f"http://www.hot.bad.org/a/b/c/{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}?s=1" for k in range(400)]
+    urls += [f"http://weak.net/page{k}" for k in range(40)] + [f"http://good{k % 9}.com/page{k}" for k in range(400)]
+    labels = [(k, 0) for k in range(400)] + [(k, int(k % 4 == 0)) for k in range(400, 440)] + [(k, 1) for k in range(440, 840)]
+    found = filter_urls(pages(spark, urls), spark.createDataFrame(labels, LABELS), []).collect()
+    assert {r["page_id"] for r in found if r["verdict"] == "block"} == set(range(440))
