@@ -2,14 +2,19 @@
 
 Documents fall into cells of source, language and topic; a cell weighs the tokens of its documents
 (words; at least one a document). Raking scales the cells in turn so that the sums over each
-dimension meet its targets, until all do within `tolerance`. A document is kept with its cell's
+dimension meet its targets, until all do within `tolerance`. Targets can contradict each other (a
+language that lives mainly in one source): raking then stalls while it empties cells. Such targets are
+softened: each value's factor is its missing share to the power `firm` / (1 - `firm`), which has one
+solution, with every cell above 0 and the sums between the targets. The goals and reached shares of the
+values furthest off are logged; `margins` gives all. A document is kept with its cell's
 calibrated probability: its factor relative to the largest, so that no probability exceeds 1 and
 expected tokens are in the target proportions exactly; `most` lowers all of them alike to an
 expected share of all tokens. The draw is a hash of id and seed, so it is repeatable.
 
 Targets are shares by dimension and value. Without given ones a dimension's target is its share of
 tokens to the power `temper`, which flattens a source that holds a third of everything. Values
-without a target keep their share; targets are scaled to what is present. Only sums over cells move
+without a target keep their share; targets are scaled to what is present. Cells of a value with target 0
+stay out; what other dimensions ask of values found only there goes to their other values. Only sums over cells move
 between tasks; partial sums come first, so a hot source is one row a task.
 
 The topic is the hash group (of `topics`) that most of a text's longer words fall into, ties to the
@@ -22,6 +27,10 @@ rows. Other columns pass through unless they have the name of a result.
 
 from __future__ import annotations
 
+import logging
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,8 +76,64 @@ def value_key(column: Column) -> Column:
     return F.when(column.isNull(), "null").otherwise(F.concat(F.lit("="), column.cast("string")))
 
 
-def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], temper: dict[str, float], tolerance: float = 1e-4, rounds: int = 50) -> DataFrame:
-    """`cells` (dims as text keys, n_tokens) with `factor`: fitted weight by token. Targets have (key, share)."""
+def _sweeps(state: DataFrame, dims: list[str], total: float, tolerance: float, rounds: int, firm: float = 1.0) -> tuple[DataFrame, bool]:
+    """`state` with raked weights, and whether they settled. More rounds follow as long as the worst move halves in half of them.
+
+    With a tolerance of 0 there are exactly `rounds` rounds.
+    """
+    state = state.withColumns({f"by_{d}": F.lit(1.0) for d in dims})
+    worst = 0.0
+    while rounds:
+        half = math.inf
+        for k in range(rounds):
+            off = F.lit(0.0)
+            for d in dims:
+                sums = state.groupBy(d).agg(F.sum("weight").alias("sum__"))
+                by = F.pow(F.col(f"by_{d}") * F.col(f"goal_{d}") * total / F.col("sum__"), F.lit(firm))
+                state = state.join(sums, d).withColumn("by__", by).withColumn("scale__", F.col("by__") / F.col(f"by_{d}"))
+                off = F.greatest(off if d == dims[0] else F.col("off__"), F.abs(F.col("scale__") - 1))
+                state = state.withColumns({"weight": F.col("weight") * F.col("scale__"), f"by_{d}": F.col("by__"), "off__": off}).drop("sum__", "by__", "scale__")
+            state = cut_lineage(state)
+            worst = state.agg(F.max("off__")).first()[0]
+            state = state.drop("off__")
+            if worst < tolerance:
+                return state, True
+            if k == (rounds - 1) // 2:
+                half = worst
+        if tolerance <= 0 or worst > half / 2:
+            break
+    return state, tolerance <= 0 or not rounds
+
+
+def _reachable(state: DataFrame, dims: list[str]) -> DataFrame:
+    """`state` without weight where a goal is 0, and with goals only for values that have weight."""
+    none = reduce(lambda a, b: a | b, [F.col(f"goal_{d}") <= 0 for d in dims])
+    if state.where(none).isEmpty():
+        return state
+    state = state.withColumn("weight", F.when(none, 0.0).otherwise(F.col("weight")))
+    live = cut_lineage(state).where("weight > 0")
+    for d in dims:
+        values = live.select(d, F.col(f"goal_{d}").alias("live__")).distinct()
+        share = values.agg(F.sum("live__")).first()[0] or 1.0
+        state = state.join(values, d, "left").withColumn(f"goal_{d}", F.coalesce(F.col("live__") / share, F.lit(0.0))).drop("live__")
+    return cut_lineage(state)
+
+
+def margins(factors: DataFrame, dims: list[str]) -> DataFrame:
+    """(dimension, key, goal, reached): what share each value of raked cells should have and has."""
+    total = factors.agg(F.sum(F.col("factor") * F.col("n_tokens"))).first()[0] or 1.0
+    shares = [
+        factors.groupBy(F.col(d).alias("key")).agg(F.max(f"goal_{d}").alias("goal"), (F.sum(F.col("factor") * F.col("n_tokens")) / total).alias("reached"))
+        .select(F.lit(d).alias("dimension"), "key", "goal", "reached") for d in dims
+    ]
+    return reduce(DataFrame.union, shares)
+
+
+def rake(
+    cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], temper: dict[str, float], tolerance: float = 1e-4, rounds: int = 50,
+    firm: float = 0.8,
+) -> DataFrame:
+    """`cells` (dims as text keys, n_tokens) with goals and `factor`: fitted weight by token. Targets have (key, share)."""
     state = cells.withColumn("weight", F.col("n_tokens").cast("double"))
     for d in dims:
         own = cells.groupBy(d).agg(F.sum("n_tokens").cast("double").alias("own__"))
@@ -86,20 +151,21 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], tempe
         state = state.join(own.select(d, goal.alias(f"goal_{d}")), d)
     state = cut_lineage(state)
     total = state.agg(F.sum("weight")).first()[0]
-    for _ in range(rounds if total else 0):
-        off = F.lit(0.0)
-        for d in dims:
-            sums = state.groupBy(d).agg(F.sum("weight").alias("sum__"))
-            scale = F.when(F.col("sum__") > 0, F.col(f"goal_{d}") * total / F.col("sum__")).otherwise(0.0)
-            state = state.join(sums, d).withColumn("scale__", scale).withColumn("weight", F.col("weight") * F.col("scale__"))
-            off = F.greatest(off, F.abs(F.col("scale__") - 1)) if d == dims[0] else F.greatest(F.col("off__"), F.abs(F.col("scale__") - 1))
-            state = state.withColumn("off__", off).drop("sum__", "scale__")
-        state = cut_lineage(state)
-        worst = state.agg(F.max("off__")).first()[0]
-        state = state.drop("off__")
-        if worst < tolerance:
-            break
-    return state.select(*dims, "n_tokens", (F.col("weight") / F.col("n_tokens")).alias("factor"))
+    state = _reachable(state, dims)
+    live = state.where("weight > 0")
+    done, settled = (live, True) if not total or live.isEmpty() else _sweeps(live, dims, total, tolerance, rounds)
+    softened = not settled
+    if softened:
+        done, settled = _sweeps(live, dims, total, tolerance, rounds, firm)
+    kept = [*dims, *[f"goal_{d}" for d in dims], "n_tokens", (F.col("weight") / F.col("n_tokens")).alias("factor")]
+    out = done.select(*kept).union(state.where("weight = 0").select(*kept))
+    if softened:
+        far = margins(out, dims).orderBy(F.desc(F.abs(F.col("reached") - F.col("goal"))), "dimension", "key").limit(20).collect()
+        logging.getLogger(__name__).warning(
+            "targets contradict each other and were softened%s; (dimension, value, goal, reached) furthest off: %s",
+            "" if settled else " (not settled)", [tuple(r) for r in far],
+        )
+    return out
 
 
 def mix_sources(

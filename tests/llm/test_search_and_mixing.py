@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ripplet.llm.posting_lists import CentroidGraph, balanced_centroids, nearest_neighbours
-from ripplet.llm.source_mixing import mix_sources, rake
+from ripplet.llm.source_mixing import margins, mix_sources, rake
 from tests.llm.data import documents, prose, row, rows
 
 VECTORS = "vec_id long, embedding array<float>, label int, rank int"
@@ -88,6 +88,31 @@ def test_rake_against_plain_loops(spark):
         assert r["factor"] == pytest.approx(wanted[r["source"], r["lang"], r["topic"]], rel=1e-6)
 
 
+CELLS = "source string, lang string, n_tokens long"
+
+
+def test_contradicting_targets_are_softened(spark, caplog):
+    table = spark.createDataFrame([("A", "x", 400), ("B", "x", 100), ("B", "y", 9500)], CELLS)
+    found = rake(table, ["source", "lang"], {}, {"source": 0.5, "lang": 0.7})
+    factors = {(r["source"], r["lang"]): r["factor"] for r in found.collect()}
+    assert min(factors.values()) > 0.05 * max(factors.values())
+    reached = {(r["dimension"], r["key"]): (r["goal"], r["reached"]) for r in margins(found, ["source", "lang"]).collect()}
+    (wide, a), (narrow, x) = reached["source", "A"], reached["lang", "x"]
+    assert narrow < a < wide and narrow < x < wide and "softened" in caplog.text
+
+
+def test_slow_and_zero_targets_are_met(spark, caplog):
+    share = lambda **of: spark.createDataFrame(list(of.items()), "key string, share double")
+    table = spark.createDataFrame([("a", "x", 10), ("a", "y", 1), ("b", "x", 1), ("b", "y", 10)], CELLS)
+    slow = rake(table, ["source", "lang"], {"source": share(a=0.5, b=0.5), "lang": share(x=0.8, y=0.2)}, {}, rounds=4)
+    assert all(abs(r["reached"] - r["goal"]) < 2e-4 for r in margins(slow, ["source", "lang"]).collect())
+    table = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "y", 20), ("b", "z", 5), ("c", "w", 9)], CELLS)
+    found = rake(table, ["source", "lang"], {"source": share(a=0.6, b=0.4, c=0.0)}, {"lang": 1.0})
+    factors = {(r["source"], r["lang"]): r["factor"] for r in found.collect()}
+    assert factors["c", "w"] == 0 and min(f for c, f in factors.items() if c[0] != "c") > 0
+    assert all(abs(r["reached"] - r["goal"]) < 2e-4 for r in margins(found, ["source", "lang"]).collect()) and "softened" not in caplog.text
+
+
 def test_mixing_keeps_rows_and_calibrates(spark):
     docs = documents(spark)
     found = mix_sources(docs)
