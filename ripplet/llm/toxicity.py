@@ -10,10 +10,12 @@ score.
 1. Every task counts trigrams of its words; the sums are at most 64^3 rows.
 2. The lexicon is counted over the words of at most `most_labelled` training documents (those with
    the smallest hash of their id; a parameter). Words need `support` toxic documents and `odds`.
-3. One pass scores every document. Suspicious tokens are found on byte arrays: a look-alike before a
-   letter, letters between separators, three equal letters, or three single characters in a row.
-   Readings are kept per task in a bounded cache. Tokens over 48 characters are no words and are not
-   restored; a row of single characters of any length is restored in overlapping stretches.
+3. One pass scores every document. Suspicious tokens are found on byte arrays: a look-alike beside a
+   letter or another look-alike, separators inside, three equal letters, or three single characters in
+   a row. Numbers are none: a token needs a letter or two look-alikes that are no digits. Runs count as
+   three characters at most; what is longer than 48 is restored in overlapping stretches. Readings are
+   kept per task in a bounded cache. Of rows of characters, of stretches and of tokens with several
+   separators every part of at least 3 letters is looked up.
 4. The logistic weights are fitted on the measures of the same bounded sample of training rows.
 
 Rows: null and empty texts have no words and get the score of harmless text. Null ids are never
@@ -23,6 +25,8 @@ occur. Without both labels every score is 0.5. Other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +43,9 @@ LOOK_ALIKES = {
 }
 SEPARATORS = " .-_*~'"
 LONGEST = 48
+SHORTEST = 3
+EDGES = ".,;:!?\"'()[]{}#%&*|"
+PLAIN_EDGES = "".join(c for c in EDGES if c not in LOOK_ALIKES)
 SYMBOLS = 64
 _ALPHABET = np.full(256, 28, np.int64)  # 0 is a word's edge, 1 to 26 letters, 27 digits, 28 others, from 32 non-ASCII bytes
 _ALPHABET[48:58] = 27
@@ -48,6 +55,13 @@ _ALPHABET[9:14] = _ALPHABET[32] = 0
 _LETTER = ((np.arange(256) | 32) >= 97) & ((np.arange(256) | 32) <= 122) & (np.arange(256) < 128) | (np.arange(256) >= 128)
 _ALIKE = np.isin(np.arange(256), [ord(c) for c in LOOK_ALIKES if ord(c) < 128])
 _APART = np.isin(np.arange(256), [ord(c) for c in SEPARATORS if c != " "])
+_SIGN = _ALIKE & ~((np.arange(256) >= 48) & (np.arange(256) <= 57))
+_LIKE, _APART_CLASS = re.escape("".join(LOOK_ALIKES)), re.escape(SEPARATORS.strip())
+_MIXED = re.compile(rf"[^\W\d_][{_LIKE}]|[{_LIKE}][^\W\d_]|[{_LIKE}](?<!\d)[{_LIKE}]|[{_LIKE}][{_LIKE}](?<!\d)|[€£]|([^\W\d_])\1\1")
+_INNER = re.compile(rf"(?<=[^\W_{_APART_CLASS}]|[{_LIKE}])[{_APART_CLASS}]+(?=[^\W_]|[{_LIKE}])")
+_LETTERS, _SIGNS = re.compile(r"[^\W\d_]"), re.compile("[" + re.escape("".join(c for c in LOOK_ALIKES if not c.isdigit())) + "]")
+_RUN = re.compile(r"(.)\1{3,}", re.S)
+_PARTS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def trigram_counts(raw: np.ndarray) -> np.ndarray:
@@ -123,27 +137,43 @@ class Restorer:
         return best
 
 
+def _candidates(token: str) -> list[tuple[str, bool]]:
+    """(token, parts) for the ways to read a token, without and with the look-alikes at its edges; none if it hides nothing."""
+    out = []
+    for core in dict.fromkeys((token.strip(EDGES), token.strip(PLAIN_EDGES))):
+        core = _RUN.sub(r"\1\1\1", core)
+        if len(core) < SHORTEST or not _LETTERS.search(core) and len(_SIGNS.findall(core)) < 2:
+            continue
+        apart = len(_INNER.findall(core))
+        if not apart and not _MIXED.search(core):
+            continue
+        if len(core) <= LONGEST:
+            out.append((core, apart > 1))
+        else:  # whatever is no longer than LONGEST is whole in one of them
+            out += [(core[at:at + 2 * LONGEST], True) for at in range(0, max(len(core) - LONGEST, 1), LONGEST)]
+    return out
+
+
 def suspicious(words: Words) -> list[tuple[int, str, bool]]:
-    """(text, token, spaced) for every token that may hide a word."""
+    """(text, token, parts) for every token that may hide a word, or with parts several."""
     raw = words.raw
     if not len(raw):
         return []
     low = np.concatenate((raw, np.zeros(4, np.uint8)))
     low = np.where((low >= 65) & (low <= 90), low + 32, low).astype(np.uint8)
-    letter, alike, apart = _LETTER[low], _ALIKE[low], _APART[low]
+    letter, alike, apart, sign = _LETTER[low], _ALIKE[low], _APART[low], _SIGN[low]
     n = len(raw)
-    flag = alike[:n] & letter[1:n + 1]
-    flag |= letter[:n] & apart[1:n + 1] & letter[2:n + 2] & apart[3:n + 3] & letter[4:n + 4]
+    part, after = letter | alike, slice(1, n + 1)
+    flag = alike[:n] & letter[after] | letter[:n] & alike[after] | alike[:n] & alike[after] & (sign[:n] | sign[after])
     flag |= letter[:n] & (low[:n] < 128) & (low[:n] == low[1:n + 1]) & (low[:n] == low[2:n + 2])
-    marks = np.concatenate(([0], np.cumsum(flag)))
+    flag |= (low[:n] == 0xC2) & (low[after] == 0xA3) | (low[:n] == 0xE2) & (low[after] == 0x82) & (low[2:n + 2] == 0xAC)
     text_of = np.repeat(np.arange(len(words)), np.diff(words.first))
     out = []
     size = words.end - words.start
-    hot = np.flatnonzero((marks[words.end] > marks[words.start]) & (size <= 4 * LONGEST))
-    for k in hot.tolist():
-        token = words.word(k).decode().strip(".,;:!?\"'()[]{}#%&*|")
-        if 3 <= len(token) <= LONGEST:
-            out.append((int(text_of[k]), token, False))
+    holds = lambda flags: (lambda sums: sums[words.end] > sums[words.start])(np.concatenate(([0], np.cumsum(flags))))
+    hot = holds(flag) | holds(part[:n] & apart[after]) & holds(apart[:n] & part[after])
+    for k in np.flatnonzero(hot & holds(letter[:n] | sign[:n]) & (size >= SHORTEST)).tolist():
+        out += [(int(text_of[k]), token, parts) for token, parts in _candidates(words.word(k).decode())]
     single = (size == 1) & (letter[words.start] | alike[words.start]) | (size == 2) & (raw[words.start] >= 128)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], single.view(np.int8), [0]))))
     for a, b in edge.reshape(-1, 2).tolist():
@@ -157,17 +187,17 @@ def suspicious(words: Words) -> list[tuple[int, str, bool]]:
 
 
 def hidden_words(words: Words, restorer: Restorer) -> tuple[list[int], list[str]]:
-    """(text, word) for the words that suspicious tokens turn out to be; spaced letters give every stretch of 4 to 20."""
+    """(text, word) for the words that suspicious tokens turn out to be; words that stand there plainly are none."""
     texts, found = [], []
-    for text, token, spaced in suspicious(words):
+    for text, token, several in suspicious(words):
         plain = restorer.restore(token)
         if plain == token:
             continue
-        plain = plain.strip(".,;:!?\"'()[]{}#%&*|")
+        plain = plain.strip(EDGES)
         parts = {plain}
-        if spaced:
-            parts |= {plain[i:i + n] for n in range(4, 21) for i in range(len(plain) - n + 1)}
-        for part in parts:
+        if several:
+            parts |= {plain[i:j] for i in range(len(plain)) for j in range(i + SHORTEST, len(plain) + 1)}
+        for part in parts.difference(_PARTS.split(token)):
             if part:
                 texts.append(text)
                 found.append(part)

@@ -93,6 +93,20 @@ def test_restored(hidden):
     assert none == []
 
 
+@pytest.mark.parametrize("hidden, word", [
+    ("worthle55", "worthless"), ("idio7", "idiot"), ("a$$", "ass"), ("@$$", "ass"), ("!d1ot", "idiot"), ("1.d.1.0.7", "idiot"), ("s--t--u--p--i--d", "stupid"),
+    ("st.up.id", "stupid"), ("stu-pid", "stupid"), ("stu" + 300 * "u" + "pid", "stupid"), ("y.o.u.s.t.u.p.i.d.o.n.e", "stupid"), ("(n1tw1t)!", "nitwit"),
+    ("-".join("we all know that you are one " * 4 + "stupid").replace("- -", "-"), "stupid"),
+])
+def test_restored_at_edges_between_separators_and_in_long_tokens(hidden, word):
+    text = " ".join(["worthless", "idiot", "ass", "stupid", "nitwit", "you", "one"] * 50 + prose(1, 200).split())
+    restorer = Restorer(trigram_costs(trigram_counts(words_of(pa.array([text]), SPACED).raw)))
+    _, found = hidden_words(words_of(pa.array([f"you {hidden} there"]), SPACED), restorer)
+    assert word in found
+    for plain in ("idiot! (stupid) stupid.", "In 2023, 3.5 or 1,000-2,000; 12+3 at 10:45"):
+        assert not set(hidden_words(words_of(pa.array([plain]), SPACED), restorer)[1]) & {"worthless", "idiot", "ass", "stupid", "nitwit"}
+
+
 def test_viterbi_finds_the_cheapest_reading():
     text = " ".join(INSULTS * 20 + prose(1, 100).split())
     costs = trigram_costs(trigram_counts(words_of(pa.array([text]), SPACED).raw))
