@@ -1,18 +1,23 @@
-"""The registered queries of the ten operators, each over its whole table, with SQL where it can say the same."""
+"""The registered queries of the corpus operators, each over its whole table, with SQL where it can say the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ripplet.llm.benchmark_decontamination import HITS, decontaminate
+from ripplet.llm.centroid_clusters import centroid_clusters
 from ripplet.llm.html_extraction import extract_pages
+from ripplet.llm.line_dedup import dedup_lines
 from ripplet.llm.ngram_jaccard_join import ngram_jaccard_join
 from ripplet.llm.posting_lists import nearest_neighbours
 from ripplet.llm.quality_classifier import quality_scores
 from ripplet.llm.secret_scan import scan_secrets
 from ripplet.llm.source_mixing import mix_sources
+from ripplet.llm.token_alignment import RESULTS as ALIGNED
+from ripplet.llm.token_alignment import align_tokens
 from ripplet.llm.token_counts import token_counts
 from ripplet.llm.toxicity import toxicity_scores
 from ripplet.llm.url_filter import filter_urls
@@ -134,3 +139,61 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mix_sources(docs, keep=["doc_id", "source", "lang"])
+
+
+@query("op11_line_dedup", r"""
+WITH lines AS MATERIALIZED (
+  SELECT d, doc_id, unnest(list_transform(range(1, len(l) + 1), lambda i: {'pos': i, 'line': l[i],
+    'key': translate(trim(l[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')}), recursive := true)
+  FROM (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), held AS MATERIALIZED (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT d, doc_id, pos, line, held.key IS NOT NULL AND doc_id <> keeper AS gone FROM lines LEFT JOIN held ON held.key = lines.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY d
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    """Each round as a pair of common table expressions: assignment, then means."""
+    parts = ["""vectors AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM vectors ORDER BY h LIMIT 16)
+)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, CAST(arg_min(c, struct_pack(far, c)) AS INTEGER) AS cluster, min(far) AS distance FROM (
+    SELECT x.vec_id, x.v, y.c, CAST(list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS far FROM vectors x, c{k} y
+  ) GROUP BY vec_id
+)""")
+        if k < rounds:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c{k}.c, coalesce(m.v, c{k}.v) AS v FROM c{k} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT cluster, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, generate_subscripts(v, 1) AS i, unnest(v) AS e FROM a{k}) GROUP BY cluster, i
+    ) GROUP BY cluster
+  ) m ON m.cluster = c{k}.c
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = cluster
+"""
+
+
+@query("op12_centroid_clusters", _centroid_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters(table(spark, folder, "embeddings"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(table(spark, folder, "documents"), keep_groups=False).select("doc_id", *ALIGNED)
