@@ -44,9 +44,9 @@ def on_one_machine(spark: SparkSession) -> bool:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers of a cluster, once for each application."""
+    """Send this package to the workers, once for each application; those of one machine may stand in another folder too."""
     context = spark.sparkContext
-    if on_one_machine(spark) or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
     top = os.path.dirname(os.path.abspath(__file__))
