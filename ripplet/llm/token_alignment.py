@@ -31,6 +31,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from ripplet.session import checkpoint_dir, cut_lineage
 
 FOLDER = "/opt/tokenizers"
 LONG = 64            # ids of the longest window that is remembered
-REMEMBERED = 1 << 17  # windows and pre-tokens that a worker remembers; more start anew
+REMEMBERED = 1 << 17  # windows, and pre-tokens, in each of the two generations that a worker remembers
 COMMON = 1 << 18     # pairs whose counts every task holds: 4.5 MB
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
@@ -68,6 +69,30 @@ def read_models(byte_bpe: str, pieces_model: str) -> tuple[bytes, bytes]:
         return a.read(), b.read()
 
 
+class Memory(dict):
+    """What was found for a key, in two generations: when the young one is full it becomes the old one, which is forgotten.
+
+    What is asked for again moves to the young one, so frequent keys stay. Which are known affects speed only.
+    """
+
+    def __init__(self, size: int = REMEMBERED):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def find(self, key):
+        """The value in the old generation, which makes it young again; None if it is not known."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of each token; A's pre-tokens are remembered."""
 
@@ -85,88 +110,94 @@ class Tokenizers:
         for token, k in vocabulary.items():
             self.bytes_a[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
-        self.known: dict[str, list[int]] = {}
+        self.known = Memory()
 
     def _piece(self, k: int) -> bytes:
         if self.b.is_byte(k):
             return bytes([int(self.b.id_to_piece(k)[1:-1], 16)])
         return self.b.id_to_piece(k).replace("▁", " ").encode()
 
-    def encode_a(self, text: str) -> list[int]:
-        if not _PLAIN.fullmatch(text):
-            return self.a.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        known = self.known
-        for piece in PRETOKEN.findall(text):
-            ids = known.get(piece)
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """A's ids of each text: by pre-token where it is plain, those not yet known encoded at once."""
+        plain = [PRETOKEN.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
+        batch: dict[str, list[int]] = {}
+        missing = []
+        for piece in {p for found in plain if found is not None for p in found}:
+            ids = self.known.get(piece) or self.known.find(piece)
             if ids is None:
-                ids = self.a.encode(piece, add_special_tokens=False).ids
-                if len(piece) <= LONG:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+                missing.append(piece)
+            else:
+                batch[piece] = ids
+        for piece, found in zip(missing, self.a.encode_batch_fast(missing, add_special_tokens=False)):
+            batch[piece] = ids = found.ids
+            if len(piece) <= LONG:
+                self.known.keep(piece, ids)
+        get = batch.__getitem__
+        return [self.a.encode(t, add_special_tokens=False).ids if found is None else list(chain.from_iterable(map(get, found))) for t, found in zip(texts, plain)]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and B of each text; none where their bytes are not the text's."""
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            spaced = " " + text
-            raw = spaced.encode("utf-8", "surrogatepass")
-            a = self.encode_a(spaced) if text else []
+        spaced = [" " + t for t in texts]
+        for text, space, a, b in zip(texts, spaced, self.encode_a(spaced), self.b.encode(texts, num_threads=1)):
+            raw = space.encode()
             same = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
             yield (a, b) if same else ([], [])
 
 
-def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, int, list[int]]:
+def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
     """One window's groups as text, their number, and the linked pairs (a << 32 | b), each as often as it is linked."""
     groups, links = [], []
     i = j = first_a = first_b = 0
-    while i < len(a):
+    x, y = size_a[a[0]], size_b[b[0]]  # where the tokens at i and j end
+    while True:
         links.append(a[i] << 32 | b[j])
-        x, y = ends_a[i], ends_b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
+        if x < y:
+            i += 1
+            x += size_a[a[i]]
+        elif y < x:
+            j += 1
+            y += size_b[b[j]]
+        else:
+            i, j = i + 1, j + 1
             groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+            if i == len(a):
+                return ";".join(groups), len(groups), links
             first_a, first_b = i, j
-    return ";".join(groups), len(groups), links
+            x += size_a[a[i]]
+            y += size_b[b[j]]
 
 
 class Windows:
     """Windows of documents by their id tuples, remembered with their groups and links."""
 
     def __init__(self, tokenizers: Tokenizers):
-        table = lambda values: np.array(values)
-        self.size_a, self.size_b = table([len(t) for t in tokenizers.bytes_a]), table([len(t) for t in tokenizers.bytes_b])
-        self.space_a, self.space_b = table([t[:1] == b" " for t in tokenizers.bytes_a]), table([t[:1] == b" " for t in tokenizers.bytes_b])
-        self.known: dict[tuple[bytes, bytes], tuple[str, int, np.ndarray]] = {}
-
-    def _aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
-        text, groups, links = align(a.tolist(), b.tolist(), self.size_a[a].cumsum().tolist(), self.size_b[b].cumsum().tolist())
-        return text, groups, np.array(links, np.int64)
+        self.lengths_a, self.lengths_b = [len(t) for t in tokenizers.bytes_a], [len(t) for t in tokenizers.bytes_b]
+        self.size_a, self.size_b = np.array(self.lengths_a), np.array(self.lengths_b)
+        self.space_a, self.space_b = (np.array([t[:1] == b" " for t in tokens]) for tokens in (tokenizers.bytes_a, tokenizers.bytes_b))
+        self.known = Memory()
 
-    def of(self, a: list[int], b: list[int]) -> Iterator[tuple[str, int, np.ndarray]]:
+    def of(self, a: list[int], b: list[int]) -> Iterator[tuple[str, int, list[int]]]:
         """(groups text, number of groups, links) of each window of one document, in order."""
         ids_a, ids_b = np.array(a, np.int32), np.array(b, np.int32)
         ends_a, ends_b = self.size_a[ids_a].cumsum(), self.size_b[ids_b].cumsum()
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        last = len(at_a) - 1  # both end with the text
+        near = np.searchsorted(ends_b, ends_a)  # both end with the text, so each end of A has one of B at or after it
+        at_a = np.flatnonzero(ends_b[near] == ends_a)
+        at_b = near[at_a]
+        last = len(at_a) - 1
         anchor = np.ones(len(at_a), bool)
         anchor[:last] = self.space_a[ids_a[at_a[:last] + 1]] & self.space_b[ids_b[at_b[:last] + 1]]
-        stop_a, stop_b = (at_a[anchor] + 1).tolist(), (at_b[anchor] + 1).tolist()
         raw_a, raw_b, known = ids_a.tobytes(), ids_b.tobytes(), self.known
+        sizes = self.lengths_a, self.lengths_b
         i = j = 0
-        for x, y in zip(stop_a, stop_b):
+        for x, y in zip((at_a[anchor] + 1).tolist(), (at_b[anchor] + 1).tolist()):
             if x - i + y - j > LONG:
-                yield self._aligned(ids_a[i:x], ids_b[j:y])
+                yield align(a[i:x], b[j:y], *sizes)
             else:
                 key = (raw_a[4 * i:4 * x], raw_b[4 * j:4 * y])
-                found = known.get(key)
+                found = known.get(key) or known.find(key)
                 if found is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    found = known[key] = self._aligned(ids_a[i:x], ids_b[j:y])
+                    found = align(a[i:x], b[j:y], *sizes)
+                    known.keep(key, found)
                 yield found
             i, j = x, y
 
@@ -211,7 +242,7 @@ def aligned_documents(models, keep_groups: bool):
             for key, (a, b) in zip(batch.column(0).to_pylist(), tokenizers.encode(texts)):
                 found = list(windows.of(a, b)) if a else []
                 groups = ";".join([w[0] for w in found])
-                code, often = np.unique(np.concatenate([w[2] for w in found]) if found else np.zeros(0, np.int64), return_counts=True)
+                code, often = np.unique(np.array(list(chain.from_iterable([w[2] for w in found])), np.int64), return_counts=True)
                 codes.append(code)
                 times.append(often)
                 digest = hashlib.sha256(groups.encode()).hexdigest() if found else ""
