@@ -8,8 +8,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE picks partition counts, join strategies and skew splits from runtime sizes. No broadcast
-# hint appears in this package: a side is broadcast only when its measured size allows it.
+# AQE picks partition counts, join strategies and skew splits from runtime sizes. A side is
+# broadcast only when its measured size allows it.
 _SHIPPED: set[str] = set()
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
