@@ -16,9 +16,12 @@ tokens whose bytes overlap are linked. An id pair's count is the number of docum
    bound: 17 bytes a pair), all others by a join on the pair. Which are which affects speed only; hot
    pairs never meet in one task.
 
-Tokens of A are looked up by pre-token where the text has only characters whose classes no Unicode version
-disputes (those below U+0250 less controls and odd blanks), each distinct pre-token encoded once; other texts
-are encoded whole.
+A text that has only characters whose classes no Unicode version disputes (those below U+0250 less controls
+and odd blanks) is tokenised by chunks: it is cut before each space that follows no white space. No token of
+either tokenizer crosses such a place (A's pre-tokens end there, no piece of B has a space behind another
+character, and B does not rewrite text), so tokens of the chunks are those of the text, and each cut is an
+anchor. A distinct chunk is tokenised, verified and cut into windows once and remembered, in the same bounded
+way. Whether no token crosses is looked up in the models. If the bytes of a chunk's tokens are not the chunk's, and for all other texts, the text is tokenised whole.
 
 Rows: a document is a row, so repeated rows count each. Ids may be null or repeat. Texts of any length stay
 whole. An empty table gives no rows. Other columns are not read.
@@ -29,13 +32,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,16 +48,17 @@ from ripplet.llm.words import pieces, small_batches
 from ripplet.session import checkpoint_dir, cut_lineage
 
 FOLDER = "/opt/tokenizers"
-LONG = 64            # ids of the longest window that is remembered
-REMEMBERED = 1 << 17  # windows, and pre-tokens, in each of the two generations that a worker remembers
+LONG = 64            # ids of the longest window, and characters of the longest chunk, that is remembered
+REMEMBERED = 1 << 17  # windows, and chunks, in each of the two generations that a worker remembers
+TOGETHER = 1 << 14   # characters of new chunks that are tokenised together
 COMMON = 1 << 18     # pairs whose counts every task holds: 4.5 MB
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
-# The pre-token pattern and the bytes that stand for themselves in a byte-level vocabulary.
-PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# The bytes that stand for themselves in a byte-level vocabulary.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-ɏ]*")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-ɏ]*")
+_CHUNK = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")  # up to the next space that follows no white space
 
 
 def byte_of_character() -> dict[str, int]:
@@ -94,7 +98,7 @@ class Memory(dict):
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of each token; A's pre-tokens are remembered."""
+    """Both tokenizers with the bytes of each token."""
 
     def __init__(self, byte_bpe: bytes, pieces_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,61 +114,55 @@ class Tokenizers:
         for token, k in vocabulary.items():
             self.bytes_a[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
-        self.known = Memory()
+        settings = json.loads(byte_bpe)
+        by_words = settings["normalizer"] is None and settings["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.local = by_words and not any(b" " in t.lstrip(b" ") for t in self.bytes_b)  # no token crosses the end of a chunk
 
     def _piece(self, k: int) -> bytes:
         if self.b.is_byte(k):
             return bytes([int(self.b.id_to_piece(k)[1:-1], 16)])
         return self.b.id_to_piece(k).replace("▁", " ").encode()
 
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
-        """A's ids of each text: by pre-token where it is plain, those not yet known encoded at once."""
-        plain = [PRETOKEN.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
-        batch: dict[str, list[int]] = {}
-        missing = []
-        for piece in {p for found in plain if found is not None for p in found}:
-            ids = self.known.get(piece) or self.known.find(piece)
-            if ids is None:
-                missing.append(piece)
-            else:
-                batch[piece] = ids
-        for piece, found in zip(missing, self.a.encode_batch_fast(missing, add_special_tokens=False)):
-            batch[piece] = ids = found.ids
-            if len(piece) <= LONG:
-                self.known.keep(piece, ids)
-        get = batch.__getitem__
-        return [self.a.encode(t, add_special_tokens=False).ids if found is None else list(chain.from_iterable(map(get, found))) for t, found in zip(texts, plain)]
-
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and B of each text; none where their bytes are not the text's."""
         spaced = [" " + t for t in texts]
-        for text, space, a, b in zip(texts, spaced, self.encode_a(spaced), self.b.encode(texts, num_threads=1)):
-            raw = space.encode()
+        for text, space, found, b in zip(texts, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
+            a, raw = found.ids, space.encode()
             same = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
             yield (a, b) if same else ([], [])
 
 
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
-    """One window's groups as text, their number, and the linked pairs (a << 32 | b), each as often as it is linked."""
+Window = tuple[int, int, str, int, list[int]]
+
+
+def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> Window:
+    """One window: its numbers of ids, groups as text, their number, and the linked pairs (a << 32 | b), each as often as it is linked."""
     groups, links = [], []
-    i = j = first_a = first_b = 0
-    x, y = size_a[a[0]], size_b[b[0]]  # where the tokens at i and j end
+    i = j = 0
+    id_a, id_b = a[0], b[0]
+    x, y = size_a[id_a], size_b[id_b]  # where the tokens at i and j end
+    left, right = str(id_a), str(id_b)
     while True:
-        links.append(a[i] << 32 | b[j])
+        links.append(id_a << 32 | id_b)
         if x < y:
             i += 1
-            x += size_a[a[i]]
+            id_a = a[i]
+            x += size_a[id_a]
+            left = f"{left},{id_a}"
         elif y < x:
             j += 1
-            y += size_b[b[j]]
+            id_b = b[j]
+            y += size_b[id_b]
+            right = f"{right},{id_b}"
         else:
+            groups.append(f"{left}|{right}")
             i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
             if i == len(a):
-                return ";".join(groups), len(groups), links
-            first_a, first_b = i, j
-            x += size_a[a[i]]
-            y += size_b[b[j]]
+                return i, j, ";".join(groups), len(groups), links
+            id_a, id_b = a[i], b[j]
+            x += size_a[id_a]
+            y += size_b[id_b]
+            left, right = str(id_a), str(id_b)
 
 
 class Windows:
@@ -176,8 +174,10 @@ class Windows:
         self.space_a, self.space_b = (np.array([t[:1] == b" " for t in tokens]) for tokens in (tokenizers.bytes_a, tokenizers.bytes_b))
         self.known = Memory()
 
-    def of(self, a: list[int], b: list[int]) -> Iterator[tuple[str, int, list[int]]]:
-        """(groups text, number of groups, links) of each window of one document, in order."""
+    def of(self, a: list[int], b: list[int]) -> Iterator[tuple[int, Window]]:
+        """The windows in order, each with the place in bytes where it ends."""
+        if not a:
+            return
         ids_a, ids_b = np.array(a, np.int32), np.array(b, np.int32)
         ends_a, ends_b = self.size_a[ids_a].cumsum(), self.size_b[ids_b].cumsum()
         near = np.searchsorted(ends_b, ends_a)  # both end with the text, so each end of A has one of B at or after it
@@ -189,35 +189,100 @@ class Windows:
         raw_a, raw_b, known = ids_a.tobytes(), ids_b.tobytes(), self.known
         sizes = self.lengths_a, self.lengths_b
         i = j = 0
-        for x, y in zip((at_a[anchor] + 1).tolist(), (at_b[anchor] + 1).tolist()):
+        for end, x, y in zip(ends_a[at_a[anchor]].tolist(), (at_a[anchor] + 1).tolist(), (at_b[anchor] + 1).tolist()):
             if x - i + y - j > LONG:
-                yield align(a[i:x], b[j:y], *sizes)
+                yield end, align(a[i:x], b[j:y], *sizes)
             else:
                 key = (raw_a[4 * i:4 * x], raw_b[4 * j:4 * y])
                 found = known.get(key) or known.find(key)
                 if found is None:
                     found = align(a[i:x], b[j:y], *sizes)
                     known.keep(key, found)
-                yield found
+                yield end, found
             i, j = x, y
 
 
+def one(windows: list[Window]) -> Window:
+    """Windows that follow each other as one."""
+    if len(windows) == 1:
+        return windows[0]
+    n_a, n_b, groups, n_groups, links = zip(*windows)
+    return sum(n_a), sum(n_b), ";".join(groups), sum(n_groups), list(chain.from_iterable(links))
+
+
+class Chunks:
+    """Chunks of plain texts, remembered with what their windows give together."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers, self.windows, self.known = tokenizers, Windows(tokenizers), Memory()
+
+    def _whole(self, text: str) -> list[Window]:
+        (a, b), = self.tokenizers.encode([text])
+        return [window for _, window in self.windows.of(a, b)]
+
+    def _new(self, chunks: list[str]) -> Iterator[tuple[str, Window | None]]:
+        """What chunks give that were not known, tokenised behind each other; None if their bytes are not those of their tokens.
+
+        Where that fails for all together, each is tokenised alone.
+        """
+        (a, b), = self.tokenizers.encode(["".join(chunks)[1:]])  # both add the space again
+        if not a:
+            for chunk in chunks:
+                found = self._whole(chunk[1:])
+                yield chunk, one(found) if found else None
+            return
+        found, end, last = self.windows.of(a, b), 0, 0
+        for chunk in chunks:
+            last += len(chunk) if chunk.isascii() else len(chunk.encode())
+            own = []
+            while end < last:  # a chunk ends at an anchor
+                end, window = next(found)
+                own.append(window)
+            yield chunk, one(own)
+
+    def of(self, texts: list[str]) -> Iterator[list[Window]]:
+        """The chunks of each text in order; a text that is not plain comes as its windows, one without tokens as nothing."""
+        cut = [_CHUNK.findall(" " + t) if t and self.tokenizers.local and _PLAIN.fullmatch(t) else [] for t in texts]
+        here: dict[str, Window | None] = {}
+        missing: list[list[str]] = [[]]
+        size = 0
+        for chunk in set(chain.from_iterable(cut)):
+            found = self.known.get(chunk) or self.known.find(chunk)
+            if found is not None:
+                here[chunk] = found
+            elif chunk[-1].isspace():  # it ends a text; before another chunk its blanks could be other tokens
+                missing.append([chunk])
+            else:
+                missing[0].append(chunk)
+                size += len(chunk)
+                if size > TOGETHER:
+                    missing.insert(0, [])
+                    size = 0
+        for chunks in missing:
+            for chunk, found in self._new(chunks) if chunks else ():
+                here[chunk] = found
+                if found is not None and len(chunk) <= LONG:
+                    self.known.keep(chunk, found)
+        for text, chunks in zip(texts, cut):
+            found = [here[c] for c in chunks]
+            yield found if found and None not in found else self._whole(text)
+
+
 _PAIRS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())]))
 _ALIGNED = pa.schema([
     ("row", pa.int64()), ("id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
     ("groups", pa.string()), ("groups_sha256", pa.string()), ("pairs", _PAIRS),
 ])
 _ALIGNED_SQL = "row long, id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, pairs array<struct<a: int, b: int, times: int>>"
-_WORKER: dict[int, tuple[Tokenizers, Windows]] = {}
+_WORKER: dict[int, Chunks] = {}
 
 
-def _worker(models) -> tuple[Tokenizers, Windows]:
-    """Tokenizers of this Python worker, kept while it lives."""
+def _worker(models) -> Chunks:
+    """Tokenizers of this Python worker and what it remembers, kept while it lives."""
     key = hash(models)
     if key not in _WORKER:
-        tokenizers = Tokenizers(*models)
         _WORKER.clear()
-        _WORKER[key] = tokenizers, Windows(tokenizers)
+        _WORKER[key] = Chunks(Tokenizers(*models))
     return _WORKER[key]
 
 
@@ -233,20 +298,20 @@ def aligned_documents(models, keep_groups: bool):
     """Per document its digests and distinct linked pairs; `row` numbers the rows of all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, windows = _worker(models.value)
+        chunks = _worker(models.value)
         row = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, "text"):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             columns: list[list] = [[] for _ in range(8)]
             codes, times = [], []
-            for key, (a, b) in zip(batch.column(0).to_pylist(), tokenizers.encode(texts)):
-                found = list(windows.of(a, b)) if a else []
-                groups = ";".join([w[0] for w in found])
-                code, often = np.unique(np.array(list(chain.from_iterable([w[2] for w in found])), np.int64), return_counts=True)
+            for key, found in zip(batch.column(0).to_pylist(), chunks.of(texts)):
+                n_a, n_b, parts, n_groups, links = zip(*found) if found else ((),) * 5
+                groups = ";".join(parts)
+                code, often = np.unique(np.array(list(chain.from_iterable(links)), np.int64), return_counts=True)
                 codes.append(code)
                 times.append(often)
                 digest = hashlib.sha256(groups.encode()).hexdigest() if found else ""
-                values = (row, key, len(a), len(b), sum(w[1] for w in found), int(often.sum()), groups if keep_groups else None, digest)
+                values = (row, key, sum(n_a), sum(n_b), sum(n_groups), int(often.sum()), groups if keep_groups else None, digest)
                 for column, value in zip(columns, values):
                     column.append(value)
                 row += 1

@@ -128,6 +128,7 @@ def token_rows():
     texts = [
         "Hello  world, it's fine.\n\n  Indented\tline 12345 don't", "<|endoftext|> and <s> </s> <unk> as text", "straße naïve œuvre Ångström ½²ª", "日本語のテキスト and кириллица, emoji 👩‍💻🎉 end",
         "▁piece mark is lost", "nul \x00 and \x1f controls \x85 next\xa0blank　wide", " leading and trailing  ", "   ", "a" * 3000, "ab " * 2000, "'s 'll 'LL I'VE we've", "﻿bom", "é combining ٠١ ⅷ",
+        "ends in blanks\n ", "ends in blanks\t \n", "ends in blanks\n", "tab\t \nnext \n y  \n\n  z", "a  ▁ b", "".join(f"word{k} new{k},\nline{k} " for k in range(1500)),
     ]
     return [row(500 + k, t) for k, t in enumerate(texts)] + [row(500, texts[0])]
 
