@@ -57,6 +57,29 @@ def test_decontamination_against_brute_force(spark, pass_bytes):
     assert sorted(map(tuple, found.select("doc_id", "text", *HITS).collect()), key=key) == sorted(wanted, key=key)
 
 
+def test_long_and_repeated_items_and_copies_in_many_passes(spark):
+    long_item = prose(5, 3000)
+    items = [(9, long_item)] * 3 + [(None, long_item), (10, "one two three")] + [(k, "shared by many items") for k in range(100, 160)]
+    data = [row(1, long_item), row(2, "x " + long_item[500:900] + " y")] + [row(3, "it is shared by many items here")] * 6 + [row(4, None), row(5, "clean"), row(6, "one two three")]
+    found = decontaminate(documents(spark, data), spark.createDataFrame(items, "item_id long, text string"), pass_bytes=9000)
+    wanted = [(r[0], *h) for r, h in zip(data, plain_hits([r[1] for r in data], items))]
+    assert sorted(map(tuple, found.select("doc_id", *HITS).collect())) == sorted(wanted)
+
+
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 80])
+def test_decontamination_with_clashing_names(spark, pass_bytes):
+    docs = documents(spark, contaminated_rows())
+    names = ["runs", "ITEMS", "key", "N_HIT", "c0", "c1", "text__"]
+    more = docs.selectExpr("*", *[f"'mine' AS {n}" for n in names])
+    bench = spark.createDataFrame([(*r, "z") for r in ITEMS], "item_id long, text string, item string")
+    plain = decontaminate(docs, bench, pass_bytes=pass_bytes)
+    found = decontaminate(more, bench, pass_bytes=pass_bytes)
+    kept = [n for n in names if n != "N_HIT"]
+    assert found.columns == docs.columns + kept + HITS
+    assert all(r[n] == "mine" for r in found.collect() for n in kept)
+    assert sorted(map(str, found.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_clean_text(spark):
     docs = documents(spark, [row(1, "keep. Short item! keep short"), row(2, None), row(3, "")])
     found = decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), clean=True).collect()
