@@ -4,16 +4,19 @@ Base spans come from three patterns over the whole text (assign, access, hex), l
 overlapping within a kind; matches that are too short are dropped. The method adds spans of kind
 "entropy": in every candidate string (a run of [A-Za-z0-9+/_.=-] of `window` characters or more) each
 maximal run of one character class is walked by a window whose entropy is kept up by incremental
-counts, one character in and one out. Windows at or over the class's threshold are united. Allow
-rules suppress what is no secret: addresses and file names, plain words and identifiers (hardly any
-digit, or one case only), plain numbers, and ascending or repeated sequences. An entropy span inside
-a base span is not reported again.
+counts, one character in and one out. Windows at or over the class's threshold are united. The
+classes are hexadecimal digits of one case and the base64 alphabet; runs of letters or of digits alone
+are inside base64 and allowed as plain words and numbers. Allow rules suppress what is no secret: by
+the whole candidate string addresses and file names, by the stretch plain words and identifiers (hardly
+any digit, or one case only), plain numbers, and ascending or repeated sequences. An entropy span
+inside a base span is not reported again.
 
 Texts that hold no key word, no "AKIA" and no long run are recognised on the byte arrays of a whole
 batch, so the patterns run on few texts. Places are code points, ends exclusive.
 
 Rows: a null text is empty; it has no spans, and its base digest is that of the empty string. Rows
-with repeated ids are scanned each on its own. Other columns are untouched.
+with repeated ids are scanned each on its own. Other columns are untouched unless they have the name
+of a result (in any case), which replaces them.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplet.llm.names import by_place, place, with_results
 from ripplet.llm.words import pieces, raw_bytes, small_batches
 
 # Fixed patterns of the contract.
@@ -62,12 +66,22 @@ def window_entropies(text: str, window: int):
             yield k - window + 1, float(np.log2(window)) - total / window
 
 
-def allowed(token: str, before: str) -> bool:
+# Endings by which a candidate string is the name of a file.
+_FILE = re.compile(r"\.(?:html?|php|jsp?|css|png|jpe?g|gif|svg|webp|ico|pdf|txt|md|py|json|xml|csv|zip|gz|mp[34])\.*\Z", re.IGNORECASE)
+_HOST = re.compile(r"(?:www\.|[a-z0-9.-]+\.(?:com|org|net|edu|gov|io)(?:/|\Z))", re.IGNORECASE)
+
+
+def named(candidate: str, before: str) -> bool:
+    """Whether a candidate string is an address or a file, going by it all and by what stands before it."""
+    if before.endswith(("@", ":")) and (candidate.startswith("//") or before.endswith("@")):
+        return True
+    return _HOST.match(candidate) is not None or _FILE.search(candidate) is not None
+
+
+def allowed(token: str) -> bool:
     """Whether a high-entropy stretch is no secret."""
     digits = sum(c.isdigit() for c in token)
     letters = [c for c in token if c.isalpha()]
-    if before.endswith(("://", "@", "www.")) or re.search(r"\.(com|org|net|html?|php|js|css|png|jpe?g|gif|svg|pdf|txt|md|py)\b", token):
-        return True
     if not letters or digits < 2:
         return True
     if re.search(r"[A-Za-z]{12,}", token) and digits < 4 and (token.islower() or token.isupper()):
@@ -79,6 +93,8 @@ def allowed(token: str, before: str) -> bool:
 def entropy_spans(text: str, start: int, end: int, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans within the candidate string text[start:end]."""
     found: list[tuple[int, int]] = []
+    if named(text[start:end], text[max(start - 1, 0):start]):
+        return found
     for _, members, least in CLASSES:
         for run in members.finditer(text, start, end):
             if run.end() - run.start() < window:
@@ -91,7 +107,7 @@ def entropy_spans(text: str, start: int, end: int, window: int = WINDOW) -> list
                         spans[-1][1] = b
                     else:
                         spans.append([a, b])
-            found += [(a, b) for a, b in spans if not allowed(text[a:b], text[max(start - 4, 0):start] + text[start:a])]
+            found += [(a, b) for a, b in spans if not allowed(text[a:b])]
     found.sort()
     merged: list[tuple[int, int]] = []
     for a, b in found:
@@ -158,10 +174,10 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
     return "".join(parts) + text[at:]
 
 
-def _scan(mark: str):
+def _scan(column: str, redact: bool, mark: str):
     def run(batches):
-        for batch in pieces(batches, "text__"):
-            texts = batch["text__"]
+        for batch in pieces(batches, column):
+            texts = batch[column]
             may = may_hold(texts)
             n, spans, digest, clean = np.zeros((3, len(may)), np.int64), [""] * len(may), [hashlib.sha256(b"").hexdigest()] * len(may), {}
             for i in np.flatnonzero(may).tolist():
@@ -176,14 +192,15 @@ def _scan(mark: str):
                     n[k, i] = sum(s[0] == KINDS[k] for s in base)
                 clean[i] = redacted(text, found, mark)
             new = {"n_assign": pa.array(n[0]), "n_access": pa.array(n[1]), "n_hex": pa.array(n[2]), "base_sha256": pa.array(digest), "spans": pa.array(spans)}
-            if "clean__" in batch.schema.names:
+            if redact:
                 whole = pa.array([clean[i] for i in sorted(clean)], pa.string())
                 take = np.full(len(may), -1, np.int64)
                 take[sorted(clean)] = np.arange(len(clean))
                 found_rows = pa.array(take >= 0)
                 picked = whole.take(pa.array(np.maximum(take, 0), mask=take < 0))
-                new["clean__"] = pa.compute.if_else(found_rows, picked, texts.cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(batch.schema.names)], names=batch.schema.names)
+                new[column] = pa.compute.if_else(found_rows, picked, texts.cast(pa.string()))
+            names = list(dict.fromkeys([*batch.schema.names, *new]))
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch[c] for c in names], names=names)
 
     return run
 
@@ -194,10 +211,8 @@ RESULTS = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 def scan_secrets(docs: DataFrame, text_col: str = "text", redact: bool = False, mark: str = "[secret]") -> DataFrame:
     """`docs` with n_assign, n_access, n_hex, base_sha256 and spans; with `redact` the text has `mark` for every span."""
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in RESULTS]
+    text = f"c{place(docs.columns, text_col)}"
+    rows = by_place(docs).withColumn(text, F.col(text).cast("string"))
     zero, empty = F.lit(0).cast("bigint"), F.lit("")
-    state = docs.select(*[c for c in kept if c != text_col], F.col(text_col).cast("string").alias("text__")).withColumns(
-        {"n_assign": zero, "n_access": zero, "n_hex": zero, "base_sha256": empty, "spans": empty} | ({"clean__": F.lit(None).cast("string")} if redact else {})
-    )
-    text = F.col("clean__" if redact else "text__").alias(text_col)
-    return state.mapInArrow(_scan(mark), state.schema).select(*[text if c == text_col else F.col(c) for c in kept], *RESULTS)
+    schema = rows.withColumn(text, F.lit(None).cast("string")).withColumns({"n_assign": zero, "n_access": zero, "n_hex": zero, "base_sha256": empty, "spans": empty}).schema
+    return with_results(rows.mapInArrow(_scan(text, redact, mark), schema), docs.columns, RESULTS)

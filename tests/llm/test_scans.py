@@ -130,6 +130,21 @@ def test_entropy_adds_spans_and_allows_what_is_plain():
     assert not any(k == "entropy" for t in SECRETS[15:] for k, _, _ in all_spans(t))
 
 
+@pytest.mark.parametrize("text", [
+    "see a8Fk3Lq9Zx7Tn2Vb5Rw1Mc.png here", "https://example.com/a/a8Fk3Lq9Zx7Tn2Vb5Rw1Mc/b", "at cdn.example.com/a8Fk3Lq9Zx7Tn2Vb5Rw1Mc", "me@a8Fk3Lq9Zx7Tn2Vb5Rw1Mc.de",
+])
+def test_addresses_and_files_are_allowed_as_a_whole(text):
+    assert all_spans(text) == [] and [s[0] for s in all_spans("key:a8Fk3Lq9Zx7Tn2Vb5Rw1Mc.")] == ["entropy"]
+
+
+def test_secrets_with_clashing_names(spark):
+    docs = documents(spark, [row(1, "a password=hunter22 b"), row(2, None)])
+    more = docs.selectExpr("*", "'mine' AS clean__", "'mine' AS TEXT__", "'mine' AS SPANS", "'mine' AS c1")
+    found = scan_secrets(more, redact=True)
+    assert found.columns == docs.columns + ["clean__", "TEXT__", "c1", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted((r["doc_id"], r["text"], r["spans"], r["clean__"], r["c1"]) for r in found.collect()) == [(1, "a [secret] b", "assign:2:19", "mine", "mine"), (2, None, "", "mine", "mine")]
+
+
 def test_incremental_entropy():
     text = "aabbccddeeffgghhiijj0123456789abcdefa"
     for at, bits in window_entropies(text, 12):
