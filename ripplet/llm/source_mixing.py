@@ -21,8 +21,8 @@ The topic is the hash group (of `topics`) that most of a text's longer words fal
 smaller group; a text without such words is in group 0.
 
 Rows: null source, language or topic is a value of its own. Null and empty texts weigh one token. Rows
-with repeated ids share their draw; null ids are drawn by the hash of null. An empty table gives no
-rows. Other columns pass through unless they have the name of a result.
+with repeated ids share their draw; rows without an id are drawn by the hash of their text. An empty
+table gives no rows. Other columns pass through unless they have the name of a result (in any case).
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplet.llm.names import by_place, place
 from ripplet.llm.words import SPACED, pieces, small_batches, words_of
 from ripplet.session import cut_lineage
 
@@ -174,23 +175,27 @@ def mix_sources(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """`keep` columns (all by default) of `docs` with topic, n_tokens, factor, probability and kept."""
-    given, kept = targets or {}, [c for c in keep or docs.columns if c not in RESULTS]
+    given, columns, taken = targets or {}, docs.columns, {r.lower() for r in RESULTS}
+    shown = [c for c in keep or columns if c.lower() not in taken]
+    kept = [f"c{place(columns, c)}" for c in shown]
+    id_col, source_col, lang_col, text_col = (f"c{place(columns, c)}" for c in (id_col, source_col, lang_col, text_col))
+    docs = by_place(docs).withColumn("unnamed", F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))))
     temper = {"source": 0.5, "lang": 0.7, "topic": 0.9} | (temper or {})
+    needed = [id_col, source_col, lang_col, "unnamed"]
     # A first pass over the texts gives the cells; where other columns go on to the result, a second scan adds topic and length again.
-    rows = cut_lineage(profiled(docs, [id_col, source_col, lang_col], text_col, topics))
+    rows = cut_lineage(profiled(docs, needed, text_col, topics))
     keys = {"source": value_key(F.col(source_col)), "lang": value_key(F.col(lang_col)), "topic": value_key(F.col("topic"))}
     dims = list(keys)
     cells = rows.select(*[k.alias(d) for d, k in keys.items()], "n_tokens").groupBy(*dims).agg(F.sum("n_tokens").alias("n_tokens"))
     factors = rake(cut_lineage(cells), dims, given, temper)
     count, top, mass, total = factors.agg(F.count("*"), F.max("factor"), F.sum(F.col("factor") * F.col("n_tokens")), F.sum("n_tokens")).first()
     scale = min(1 / top, most * total / mass) if top else 0.0
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    narrow = set(kept) <= {id_col, source_col, lang_col}
-    out = rows if narrow else profiled(docs, [*dict.fromkeys([*kept, id_col, source_col, lang_col])], text_col, topics)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col("unnamed")), 11) / F.lit(float(1 << 53))  # a null adds nothing
+    out = rows if set(kept) <= set(needed) else profiled(docs, [*dict.fromkeys([*kept, *needed])], text_col, topics)
     chances = factors.select(*[F.col(d).alias(f"key_{d}") for d in dims], "factor")
     if count <= MOST_CELLS:  # some 20 MB; more cells meet their documents in a shuffle
         chances = F.broadcast(chances)
     out = out.join(chances, [value_key(F.col({"source": source_col, "lang": lang_col, "topic": "topic"}[d])) == F.col(f"key_{d}") for d in dims])
     return out.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * scale)).withColumn("kept", draw < F.col("probability")).select(
         *kept, *RESULTS,
-    )
+    ).toDF(*shown, *RESULTS)

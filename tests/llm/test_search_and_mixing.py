@@ -133,3 +133,15 @@ def test_expected_tokens_meet_the_targets(spark):
         mass[r["source"]] = mass.get(r["source"], 0) + r["n_tokens"] * r["probability"]
     assert max(mass.values()) == pytest.approx(min(mass.values()), rel=1e-3)
     assert sum(mass.values()) <= 0.5 * sum(r["n_tokens"] for r in got) * 1.001
+
+
+def test_mixing_with_clashing_names_and_without_ids(spark):
+    data = [row(None, prose(k, 30)) for k in range(80)] + [row(k, prose(k, 30)) for k in range(80)]
+    docs = documents(spark, data)
+    more = docs.selectExpr("*", "'mine' AS text__", "'mine' AS FACTOR", "'mine' AS unnamed", "'mine' AS sum__")
+    plain, found = mix_sources(docs, most=0.5), mix_sources(more, most=0.5)
+    results = ["topic", "n_tokens", "factor", "probability", "kept"]
+    assert found.columns == [c for c in docs.columns if c not in results] + ["text__", "unnamed", "sum__", "topic", "n_tokens", "factor", "probability", "kept"]
+    assert sorted(map(str, found.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    drawn = [r["kept"] for r in plain.collect() if r["doc_id"] is None and r["probability"] < 1]
+    assert drawn and 0 < sum(drawn) < len(drawn)
