@@ -9,7 +9,7 @@ score.
 
 1. Every task counts trigrams of its words; the sums are at most 64^3 rows.
 2. The lexicon is counted over the words of at most `most_labelled` training documents (those with
-   the smallest hash of their id; a parameter). Words need `support` toxic documents and `odds`.
+   the smallest hash of their id; a parameter), which bounds it. Words need `support` toxic documents and `odds`.
 3. One pass scores every document. Suspicious tokens are found on byte arrays: a look-alike beside a
    letter or another look-alike, separators inside, three equal letters, or three single characters in
    a row. Numbers are none: a token needs a letter or two look-alikes that are no digits. Runs count as
@@ -322,7 +322,7 @@ def character_costs(texts: DataFrame) -> np.ndarray:
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = 5, fold: int = 0, most_labelled: int = 20_000, support: int = 5, odds: float = 3.0, most_words: int = 1 << 16,
+    folds: int = 5, fold: int = 0, most_labelled: int = 20_000, support: int = 5, odds: float = 3.0,
 ) -> DataFrame:
     """(id, held_out, score, predicted) for every row of `docs`; rows of the fold are never learned from."""
     spark = docs.sparkSession
@@ -342,7 +342,7 @@ def toxicity_scores(
     words = (
         counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
         .where(F.col("toxic") >= support).withColumn("weight", weight).where(F.col("weight") >= odds)
-        .orderBy(F.desc("weight"), "word").limit(most_words).select("word", "weight").toArrow()
+        .select("word", "weight").toArrow()
     )
     known = words["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(known)
