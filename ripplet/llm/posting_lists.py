@@ -7,8 +7,11 @@
    finds the centroids near a vector; every task has the graph, whose size is bounded by `most_lists`.
 3. Every vector goes to its nearest list and, if it lies near a boundary, to further lists whose
    distance is within `closure` times the nearest, at most `copies` lists.
-4. A query visits the lists whose centroid distance is within `reach` times the nearest, at most
-   `probes`; lists and their queries meet in one shuffle, exact distances are computed there and each
+   The walk keeps `walk` centroids at hand, far more than are taken: a narrow one ends among the
+   centroids of a neighbouring cluster where clusters are tight, and the vector would lie in wrong lists.
+4. A query visits the `least` nearest lists, and those whose centroid distance is within `reach` times
+   the nearest, at most `probes`. The ratio alone leaves one list for a query that lies close to a
+   centroid, though its neighbours may be in the next ones (a cluster cut by lists). Lists and their queries meet in one shuffle, exact distances are computed there and each
    list gives its best `k`; the best of all lists are kept.
 
 Equal vectors are one entry with their smallest k + 1 ids, so copies neither fill a list nor multiply
@@ -114,9 +117,16 @@ class CentroidGraph:
         return np.array([c for _, c in found]), np.array([d for d, _ in found])
 
 
-def posting_lists(graph: CentroidGraph, vector: np.ndarray, closure: float, copies: int) -> list[int]:
-    near, far = graph.near(vector, copies)
-    return near[far <= closure * far[0]].tolist()
+def posting_lists(graph: CentroidGraph, vector: np.ndarray, closure: float, copies: int, walk: int) -> list[int]:
+    near, far = graph.near(vector, max(walk, copies))
+    return near[:copies][far[:copies] <= closure * far[0]].tolist()
+
+
+def lists_to_visit(graph: CentroidGraph, vector: np.ndarray, reach: float, probes: int, least: int) -> list[int]:
+    near, far = graph.near(vector, max(probes, least))
+    visited = far <= reach * far[0]
+    visited[:least] = True
+    return near[visited].tolist()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -124,13 +134,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy().astype(np.float64).reshape(len(flat), -1)
 
 
-def _assign(graphs, closure: float, copies: int):
+def _assign(graphs, closure: float, copies: int, walk: int):
     def run(batches):
         for batch in batches:
             lists, rows = [], []
             vectors = batch["vector"].to_pylist()
             for i, v in enumerate(vectors):
-                own = posting_lists(graphs.value[len(v)], np.array(v), closure, copies)
+                own = posting_lists(graphs.value[len(v)], np.array(v), closure, copies, walk)
                 lists += own
                 rows += [i] * len(own)
             picked = batch.take(pa.array(rows, pa.int64()))
@@ -139,14 +149,13 @@ def _assign(graphs, closure: float, copies: int):
     return run
 
 
-def _route(graphs, reach: float, probes: int):
+def _route(graphs, reach: float, probes: int, least: int):
     def run(batches):
         for batch in batches:
             lists, rows = [], []
             for i, v in enumerate(batch["vector"].to_pylist()):
-                near, far = graphs.value[len(v)].near(np.array(v), probes)
-                own = near[far <= reach * far[0]] if len(far) else near
-                lists += own.tolist()
+                own = lists_to_visit(graphs.value[len(v)], np.array(v), reach, probes, least)
+                lists += own
                 rows += [i] * len(own)
             picked = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32())] + [picked[c] for c in ("dim", "entry", "vector")], names=["list", "dim", "entry", "vector"])
@@ -226,7 +235,7 @@ def _search(k: int, chunk: int = 4096, held: int = 1 << 18):
 def nearest_neighbours(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, list_size: int = 256,
     most_fitted: int = 100_000, most_lists: int = 16_384, closure: float = 1.2, copies: int = 8, reach: float = 1.2, probes: int = 512,
-    block: int = 4096,
+    block: int = 4096, walk: int = 48, least: int = 16,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all rows."""
     spark = vectors.sparkSession
@@ -253,12 +262,12 @@ def nearest_neighbours(
         graphs[dim] = CentroidGraph(balanced_centroids(x, max(1, len(x) // lists)))
     graphs = spark.sparkContext.broadcast(graphs)
 
-    postings = cut_lineage(entries.mapInArrow(_assign(graphs, closure, copies), "list int, dim int, entry long, ids array<long>, vector array<double>"))
+    postings = cut_lineage(entries.mapInArrow(_assign(graphs, closure, copies, walk), "list int, dim int, entry long, ids array<long>, vector array<double>"))
     sizes = postings.groupBy("dim", "list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = rows.where(F.col("id") % every == 0)
     # Equal query vectors ask once; their ids are joined again at the end.
     distinct = asked.groupBy("same", "vector").agg(F.min("id").alias("entry")).select("entry", F.size("vector").alias("dim"), "vector")
-    routed = distinct.mapInArrow(_route(graphs, reach, probes), "list int, dim int, entry long, vector array<double>")
+    routed = distinct.mapInArrow(_route(graphs, reach, probes, least), "list int, dim int, entry long, vector array<double>")
     spread = routed.join(sizes, ["dim", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = postings.join(sizes, ["dim", "list"]).withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
     columns = ["dim", "list", "block", "entry", "ids", "vector"]

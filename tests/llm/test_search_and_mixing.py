@@ -49,6 +49,16 @@ def test_recall_with_copies_and_a_hot_list(spark):
     assert len(found & wanted) / len(wanted) >= 0.95
 
 
+def test_recall_where_lists_cut_tight_clusters(spark):
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(60, 6))
+    x = centres[draw.integers(60, size=6000)] + draw.normal(size=(6000, 6)) * 0.1
+    data = [(k, x[k].astype(np.float32).astype(float).tolist(), 0, 0) for k in range(6000)]
+    found = {(r["query_id"], r["vec_id"]) for r in nearest_neighbours(table(spark, data), list_size=16).collect()}
+    wanted = {(q, i) for q, _, i in brute(data)}
+    assert len(found & wanted) / len(wanted) >= 0.97
+
+
 def test_lists_are_balanced_and_the_graph_finds_the_nearest():
     x = np.random.default_rng(3).normal(size=(2000, 8))
     centroids = balanced_centroids(np.concatenate((x, np.tile(x[0], (500, 1)))), 50)
