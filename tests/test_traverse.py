@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 
+from ripplet.operators.rank import path_groups
 from ripplet.operators.traverse import dedupe_paths, evidence_paths, expand_paths
 
 
@@ -78,3 +80,13 @@ def test_bounds(spark):
     for depth, limit in ((0, 10), (4, 10), (1, 0), (1, 201), ("2", 10)):
         with pytest.raises(ValueError):
             expand_paths(frame(spark, []), seeds(spark, [1]), depth, limit)
+
+
+def test_paths_are_dealt_by_seed_once(spark):
+    # What follows the last level, up to the best path of a seed and node, happens where the paths of a seed lie.
+    found = evidence_paths(frame(spark, [(1, "CALLS", 1, 2), (2, "CALLS", 2, 3)]), seeds(spark, [1, 3]), 2, 10)
+    owners = seeds(spark, [1, 3]).selectExpr("'x' AS analysis_id", "seed_id")
+    groups = path_groups(found, owners)
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(seed_id#" in plan and not re.search(r"hashpartitioning\(seed_id#\w+, [a-z]", plan)
+    assert {(r.id, r.seed_id, r.independent) for r in groups.collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 2)}
