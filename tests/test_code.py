@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from ripplet.operators import resolve
 from ripplet.operators.resolve import index_files
 from ripplet.sources.facts import file_facts, scan
 from tests import library as lib
@@ -177,3 +179,18 @@ def test_generic_calls_and_new():
     rows = file_facts("a.ts", "function f() { g<string>(1); new H(2); a?.b?.(3); x!.y(); if (z) { w() } }")
     calls = {(r["owner"], r["name"]) for r in rows if r["fact"] == "call"}
     assert calls == {("", "g"), ("a", "b"), ("x", "y"), ("", "w")}
+
+
+def test_facts_are_kept_as_compressed_columns(spark, monkeypatch):
+    # A checkpoint keeps rows uncompressed; file texts and facts repeat themselves.
+    class Stop(Exception):
+        pass
+
+    def stop(facts, files, *rest):
+        assert all(f.endswith(".zstd.parquet") for df in (facts, files) for f in df.inputFiles() or ["none"])
+        raise Stop
+
+    monkeypatch.setattr(resolve, "Resolver", stop)
+    files = spark.createDataFrame([("a.ts", "export const a = 1;")], "path string, content string")
+    with pytest.raises(Stop):
+        index_files(files, "r", "repository:r", "r")
