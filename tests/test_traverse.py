@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from ripplet.operators import traverse
 from ripplet.operators.rank import path_groups
 from ripplet.operators.traverse import dedupe_paths, evidence_paths, expand_paths
 
@@ -90,3 +91,35 @@ def test_paths_are_dealt_by_seed_once(spark):
     plan = groups._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(seed_id#" in plan and not re.search(r"hashpartitioning\(seed_id#\w+, [a-z]", plan)
     assert {(r.id, r.seed_id, r.independent) for r in groups.collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 2)}
+
+
+def test_stored_levels_are_not_dealt_again(spark):
+    # Each level is cut where its own shuffle brought it; nothing above the union of levels moves paths.
+    found = evidence_paths(frame(spark, [(1, "CALLS", 1, 2), (2, "CALLS", 2, 3)]), seeds(spark, [1, 3]), 2, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Union")]
+    assert len(found.collect()) == 6
+
+
+def test_neighbours_beyond_what_is_open_are_not_joined(spark):
+    # The first prefix guarantees three of four places, so the second offers no more than its share and two to skip.
+    edges = [(1, "CALLS", 1, 2), (2, "CALLS", 1, 3)]
+    edges += [(10 + i, "CALLS", 2, 100 + i) for i in range(3)] + [(50 + i, "CALLS", 3, 200 + i) for i in range(40)]
+    table = frame(spark, edges)
+    links = traverse.neighbours(table, traverse.TRAVERSED_TYPES, 62)
+    frontier = spark.createDataFrame(
+        [(1, [1, n], [1], [n - 1], [True], 56, n) for n in (2, 3)],
+        "seed_id bigint, node_ids array<bigint>, kinds array<tinyint>, ids array<bigint>, ahead array<boolean>, kept bigint, node bigint")
+    grown = [r.node_ids[-1] for r in traverse._extend(frontier, links, 2, 60).collect()]
+    assert sorted(n for n in grown if n < 200) == [100, 101, 102] and {200} <= set(grown) and len(grown) <= 6
+    assert result(expand_paths(table, seeds(spark, [1]), 2, 6)) == brute(edges, [1], 2, 6)
+
+
+def test_groups_move_only_what_is_read(spark):
+    found = evidence_paths(frame(spark, [(1, "CALLS", 1, 2), (2, "CALLS", 2, 3)]), seeds(spark, [1, 3]), 2, 10)
+    owners = seeds(spark, [1, 3]).selectExpr("'x' AS analysis_id", "seed_id")
+    counts = path_groups(found, owners).select("analysis_id", "id", "independent")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    moved = plan[plan.index("hashpartitioning(node#"):].splitlines()[1]
+    assert "ahead" not in moved and "node_ids" not in moved
+    assert {(r.id, r.independent) for r in counts.collect()} == {(1, 2), (2, 2), (3, 2)}
