@@ -12,7 +12,7 @@ from ripplet.operators.pack import select_hunks
 from ripplet.operators.view import agent_diff
 from ripplet.plans.graph_sql import sid
 from ripplet.plans.registry import query
-from ripplet.session import cut_lineage, table
+from ripplet.session import cut_lineage, stored, table
 
 
 def _path(prefix: str = "docs/d"):
@@ -121,8 +121,10 @@ settled AS (SELECT doc_id, seed_id, min(ord) AS first_ord, arg_max(confidence, o
 
 
 def document_seeds(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = ops.parse_unified_diff(document_diffs(spark, d))
-    nodes = document_nodes(spark, d)
+    """Seeds, files and nodes; diffs are parsed and nodes made once, and only ranges are kept of the hunks."""
+    ranges = F.transform("hunks", lambda h: F.struct(h["start"].alias("start"), h["count"].alias("count")))
+    files = stored(ops.parse_unified_diff(document_diffs(spark, d)).withColumn("hunks", ranges))
+    nodes = stored(document_nodes(spark, d))
     found = ops.settle_seeds(ops.seeds_from_diff(files, nodes, "doc_id"), "docs", "doc_id")
     return found, files, nodes
 
