@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.model import EDGE_TYPES, ENDPOINTS, NODE_LABELS, Graph, check_label, check_type
+from ripplet.session import stored as written
 
 
 def upsert_nodes(stored: DataFrame, rows: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def with_endpoints(rows: DataFrame, nodes: DataFrame, endpoints=None) -> DataFra
 
 
 def upsert_edges(stored: DataFrame, rows: DataFrame, nodes: DataFrame, endpoints=None) -> DataFrame:
-    present = with_endpoints(rows, nodes, endpoints)
+    present = written(with_endpoints(rows, nodes, endpoints))  # read twice, joined to its endpoints once
     return stored.join(present.select("id"), "id", "left_anti").unionByName(present)
 
 
