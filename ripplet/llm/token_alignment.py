@@ -6,22 +6,24 @@ tokens whose bytes overlap are linked. An id pair's count is the number of docum
 
 1. Whole texts are tokenised first. The bytes of the tokens are joined and compared with the text; where
    either differs (or the text is null or empty) the document has no tokens.
-2. Shared ends before a token of A and one of B that both begin with a space are anchors. They cut the
-   document into windows, mostly words. A window is its two tuples of ids; its groups and links depend
-   on nothing else, so they are worked out once for each tuple and remembered (bounded; a window over
-   `LONG` ids is not remembered, and aligned where it stands in linear time).
+2. Ends of tokens of either are stops. What lies between two stops belongs to one token of each, and is one
+   link; stops of both end a group. So groups and links are worked out by sorting and searching ends, with
+   arrays, in linear memory for texts of any length.
 3. A document's distinct pairs, with how often each is linked, are written with its digests. Counts of
    pairs are one partial aggregate over them.
 4. Counts come back to the documents: the `common` most frequent pairs as a table in each task (a stated
-   bound: 17 bytes a pair), all others by a join on the pair. Which are which affects speed only; hot
-   pairs never meet in one task.
+   bound: 17 bytes a pair), all others, if there are any, by a join on the pair. Which are which affects
+   speed only; hot pairs never meet in one task.
 
 A text that has only characters whose classes no Unicode version disputes (those below U+0250 less controls
-and odd blanks) is tokenised by chunks: it is cut before each space that follows no white space. No token of
-either tokenizer crosses such a place (A's pre-tokens end there, no piece of B has a space behind another
-character, and B does not rewrite text), so tokens of the chunks are those of the text, and each cut is an
-anchor. A distinct chunk is tokenised, verified and cut into windows once and remembered, in the same bounded
-way. Whether no token crosses is looked up in the models. If the bytes of a chunk's tokens are not the chunk's, and for all other texts, the text is tokenised whole.
+and odd blanks) is tokenised by chunks: it is cut before each space that follows no white space, the anchors.
+No token of either tokenizer crosses such a place (A's pre-tokens end there, no piece of B has a space behind
+another character, and B does not rewrite text), so tokens of the chunks are those of the text, and each
+anchor ends a group. Distinct new chunks of a batch are tokenised behind each other, verified and cut
+together; what they give is remembered by arrays under the chunk (bounded: a worker keeps up to `REMEMBERED`
+between batches, and forgets the less used half beyond it; chunks over `LONG` are not kept). Whether no token
+crosses is looked up in the models, and each anchor is compared with the ends of both. If the bytes of a
+chunk's tokens are not the chunk's, and for all other texts, the text is tokenised whole.
 
 Rows: a document is a row, so repeated rows count each. Ids may be null or repeat. Texts of any length stay
 whole. An empty table gives no rows. Other columns are not read.
@@ -36,6 +38,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +51,8 @@ from ripplet.llm.words import pieces, small_batches
 from ripplet.session import checkpoint_dir, cut_lineage
 
 FOLDER = "/opt/tokenizers"
-LONG = 64            # ids of the longest window, and characters of the longest chunk, that is remembered
-REMEMBERED = 1 << 17  # windows, and chunks, in each of the two generations that a worker remembers
+LONG = 64            # characters of the longest chunk that is remembered
+REMEMBERED = 1 << 19  # chunks that a worker remembers
 TOGETHER = 1 << 14   # characters of new chunks that are tokenised together
 COMMON = 1 << 18     # pairs whose counts every task holds: 4.5 MB
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -73,30 +76,6 @@ def read_models(byte_bpe: str, pieces_model: str) -> tuple[bytes, bytes]:
         return a.read(), b.read()
 
 
-class Memory(dict):
-    """What was found for a key, in two generations: when the young one is full it becomes the old one, which is forgotten.
-
-    What is asked for again moves to the young one, so frequent keys stay. Which are known affects speed only.
-    """
-
-    def __init__(self, size: int = REMEMBERED):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-    def find(self, key):
-        """The value in the old generation, which makes it young again; None if it is not known."""
-        value = self.old.get(key)
-        if value is not None:
-            self.keep(key, value)
-        return value
-
-
 class Tokenizers:
     """Both tokenizers with the bytes of each token."""
 
@@ -132,140 +111,164 @@ class Tokenizers:
             yield (a, b) if same else ([], [])
 
 
-Window = tuple[int, int, str, int, list[int]]
-
-
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> Window:
-    """One window: its numbers of ids, groups as text, their number, and the linked pairs (a << 32 | b), each as often as it is linked."""
-    groups, links = [], []
-    i = j = 0
-    id_a, id_b = a[0], b[0]
-    x, y = size_a[id_a], size_b[id_b]  # where the tokens at i and j end
-    left, right = str(id_a), str(id_b)
-    while True:
-        links.append(id_a << 32 | id_b)
-        if x < y:
-            i += 1
-            id_a = a[i]
-            x += size_a[id_a]
-            left = f"{left},{id_a}"
-        elif y < x:
-            j += 1
-            id_b = b[j]
-            y += size_b[id_b]
-            right = f"{right},{id_b}"
-        else:
-            groups.append(f"{left}|{right}")
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return i, j, ";".join(groups), len(groups), links
-            id_a, id_b = a[i], b[j]
-            x += size_a[id_a]
-            y += size_b[id_b]
-            left, right = str(id_a), str(id_b)
+class Found(NamedTuple):
+    """What pieces of text give: numbers of ids of A, of B, of groups and of links (4 rows), groups as text with `;` behind each, and the links of all pieces one after the other."""
+
+    numbers: np.ndarray
+    groups: list[str]
+    links: np.ndarray
 
 
-class Windows:
-    """Windows of documents by their id tuples, remembered with their groups and links."""
+class Aligner:
+    """Groups and links of tokens from where they end, by arrays."""
 
     def __init__(self, tokenizers: Tokenizers):
-        self.lengths_a, self.lengths_b = [len(t) for t in tokenizers.bytes_a], [len(t) for t in tokenizers.bytes_b]
-        self.size_a, self.size_b = np.array(self.lengths_a), np.array(self.lengths_b)
-        self.space_a, self.space_b = (np.array([t[:1] == b" " for t in tokens]) for tokens in (tokenizers.bytes_a, tokenizers.bytes_b))
-        self.known = Memory()
-
-    def of(self, a: list[int], b: list[int]) -> Iterator[tuple[int, Window]]:
-        """The windows in order, each with the place in bytes where it ends."""
-        if not a:
-            return
-        ids_a, ids_b = np.array(a, np.int32), np.array(b, np.int32)
+        self.tokenizers = tokenizers
+        self.size_a, self.size_b = (np.array([len(t) for t in tokens]) for tokens in (tokenizers.bytes_a, tokenizers.bytes_b))
+        self.written = [f"{k}{mark}" for tokens, marks in ((self.size_a, ",|"), (self.size_b, ",;")) for k in range(len(tokens)) for mark in marks]
+        self.width = np.array([len(w) for w in self.written])
+
+    def cut(self, a: list[int], b: list[int], ends: np.ndarray) -> Found | None:
+        """The pieces that end at these bytes; None if a token crosses one of the ends."""
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
         ends_a, ends_b = self.size_a[ids_a].cumsum(), self.size_b[ids_b].cumsum()
-        near = np.searchsorted(ends_b, ends_a)  # both end with the text, so each end of A has one of B at or after it
-        at_a = np.flatnonzero(ends_b[near] == ends_a)
-        at_b = near[at_a]
-        last = len(at_a) - 1
-        anchor = np.ones(len(at_a), bool)
-        anchor[:last] = self.space_a[ids_a[at_a[:last] + 1]] & self.space_b[ids_b[at_b[:last] + 1]]
-        raw_a, raw_b, known = ids_a.tobytes(), ids_b.tobytes(), self.known
-        sizes = self.lengths_a, self.lengths_b
-        i = j = 0
-        for end, x, y in zip(ends_a[at_a[anchor]].tolist(), (at_a[anchor] + 1).tolist(), (at_b[anchor] + 1).tolist()):
-            if x - i + y - j > LONG:
-                yield end, align(a[i:x], b[j:y], *sizes)
+        stops = np.sort(np.concatenate((ends_a, ends_b)))  # between two stops lies what one token of A and one of B have in common
+        stops = stops[np.diff(stops, prepend=-1) > 0]
+        in_a, in_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
+        shared = (ends_a[in_a] == stops) & (ends_b[in_b] == stops)
+        at = np.searchsorted(stops, ends)
+        if not (shared[at] & (stops[at] == ends)).all():
+            return None
+        upto = np.stack((in_a[at] + 1, in_b[at] + 1, shared.cumsum()[at], at + 1))
+        last_a, last_b = in_a[shared], in_b[shared]  # of each group
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        order = np.empty(len(a) + len(b), np.int64)  # of all ids, a group's of A before its of B
+        ids_a_marked, ids_b_marked = 2 * ids_a, 2 * (len(self.size_a) + ids_b)
+        ids_a_marked[last_a] += 1
+        ids_b_marked[last_b] += 1
+        order[np.arange(len(a)) + np.repeat(last_b + 1 - n_b, n_a)] = ids_a_marked
+        order[np.arange(len(b)) + np.repeat(last_a + 1, n_b)] = ids_b_marked
+        text = "".join(map(self.written.__getitem__, order.tolist()))
+        high = self.width[order].cumsum()[upto[0] + upto[1] - 1].tolist()
+        groups = [text[i:j] for i, j in zip([0, *high], high)]
+        return Found(np.diff(upto, axis=1, prepend=0), groups, ids_a[in_a] * len(self.size_b) + ids_b[in_b])
+
+    def whole(self, text: str) -> Found:
+        """A text as one piece; zeros if it has no tokens."""
+        (a, b), = self.tokenizers.encode([text])
+        return self.cut(a, b, np.array([len(text.encode()) + 1])) if a else Found(np.zeros((4, 1), np.int64), [""], np.zeros(0, np.int64))
+
+    def chunks(self, chunks: list[str]) -> Iterator[Found]:
+        """Chunks (each without its space) in order, many tokenised behind each other; where that fails, each alone."""
+        for together in _packed(chunks):
+            text = " ".join(together)
+            (a, b), = self.tokenizers.encode([text])  # both add the first space
+            sizes = map(len, together if text.isascii() else [c.encode() for c in together])
+            found = self.cut(a, b, (np.fromiter(sizes, np.int64, len(together)) + 1).cumsum()) if a else None
+            if found is None:
+                yield from map(self.whole, together)
             else:
-                key = (raw_a[4 * i:4 * x], raw_b[4 * j:4 * y])
-                found = known.get(key) or known.find(key)
-                if found is None:
-                    found = align(a[i:x], b[j:y], *sizes)
-                    known.keep(key, found)
-                yield end, found
-            i, j = x, y
+                yield found
+
+
+def _packed(chunks: list[str]) -> Iterator[list[str]]:
+    """Some chunks at a time; what ends in blanks ends a text and stays alone, as before another chunk its blanks could be other tokens."""
+    some, size = [], 0
+    for chunk in chunks:
+        alone = not chunk or chunk[-1].isspace()
+        if some and (alone or size > TOGETHER):
+            yield some
+            some, size = [], 0
+        if alone:
+            yield [chunk]
+        else:
+            some.append(chunk)
+            size += len(chunk) + 1
+    if some:
+        yield some
 
 
-def one(windows: list[Window]) -> Window:
-    """Windows that follow each other as one."""
-    if len(windows) == 1:
-        return windows[0]
-    n_a, n_b, groups, n_groups, links = zip(*windows)
-    return sum(n_a), sum(n_b), ";".join(groups), sum(n_groups), list(chain.from_iterable(links))
+def chunks_of(text: str) -> list[str]:
+    """A text cut before each space that follows no white space; the space at the head of each chunk is left out."""
+    if text[0] != " " and not any(blanks in text for blanks in ("  ", "\n ", "\t ", "\r ")):
+        return text.split(" ")
+    return [c[1:] for c in _CHUNK.findall(" " + text)]
 
 
 class Chunks:
-    """Chunks of plain texts, remembered with what their windows give together."""
+    """Chunks of plain texts, numbered and remembered with what they give.
 
-    def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers, self.windows, self.known = tokenizers, Windows(tokenizers), Memory()
+    Once more than `size` are known, the less used half is forgotten. Which are known affects speed only.
+    """
 
-    def _whole(self, text: str) -> list[Window]:
-        (a, b), = self.tokenizers.encode([text])
-        return [window for _, window in self.windows.of(a, b)]
+    def __init__(self, tokenizers: Tokenizers, size: int = REMEMBERED):
+        self.aligner, self.size = Aligner(tokenizers), size
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.numbers, self.uses = np.zeros((4, 0), np.int32), np.zeros(0, np.int32)
+        self.starts, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, found: list[Found]) -> None:
+        if not found:
+            return
+        numbers = np.concatenate([f.numbers for f in found], axis=1)
+        self.numbers = np.concatenate((self.numbers, numbers.astype(np.int32)), axis=1)
+        self.groups += chain.from_iterable(f.groups for f in found)
+        self.starts = np.concatenate((self.starts, self.starts[-1] + numbers[3].cumsum()))
+        self.links = np.concatenate((self.links, *(f.links for f in found)))
 
-    def _new(self, chunks: list[str]) -> Iterator[tuple[str, Window | None]]:
-        """What chunks give that were not known, tokenised behind each other; None if their bytes are not those of their tokens.
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' chunks in order, and how many each text has; a text that is not plain is one, one without tokens none.
 
-        Where that fails for all together, each is tokenised alone.
+        They hold until the next call; `forget` is to follow.
         """
-        (a, b), = self.tokenizers.encode(["".join(chunks)[1:]])  # both add the space again
-        if not a:
-            for chunk in chunks:
-                found = self._whole(chunk[1:])
-                yield chunk, one(found) if found else None
-            return
-        found, end, last = self.windows.of(a, b), 0, 0
-        for chunk in chunks:
-            last += len(chunk) if chunk.isascii() else len(chunk.encode())
-            own = []
-            while end < last:  # a chunk ends at an anchor
-                end, window = next(found)
-                own.append(window)
-            yield chunk, one(own)
-
-    def of(self, texts: list[str]) -> Iterator[list[Window]]:
-        """The chunks of each text in order; a text that is not plain comes as its windows, one without tokens as nothing."""
-        cut = [_CHUNK.findall(" " + t) if t and self.tokenizers.local and _PLAIN.fullmatch(t) else [] for t in texts]
-        here: dict[str, Window | None] = {}
-        missing: list[list[str]] = [[]]
-        size = 0
-        for chunk in set(chain.from_iterable(cut)):
-            found = self.known.get(chunk) or self.known.find(chunk)
-            if found is not None:
-                here[chunk] = found
-            elif chunk[-1].isspace():  # it ends a text; before another chunk its blanks could be other tokens
-                missing.append([chunk])
-            else:
-                missing[0].append(chunk)
-                size += len(chunk)
-                if size > TOGETHER:
-                    missing.insert(0, [])
-                    size = 0
-        for chunks in missing:
-            for chunk, found in self._new(chunks) if chunks else ():
-                here[chunk] = found
-                if found is not None and len(chunk) <= LONG:
-                    self.known.keep(chunk, found)
-        for text, chunks in zip(texts, cut):
-            found = [here[c] for c in chunks]
-            yield found if found and None not in found else self._whole(text)
+        cut = [chunks_of(t) if t and self.aligner.tokenizers.local and _PLAIN.fullmatch(t) else [] for t in texts]
+        new = list(dict.fromkeys([chunk for chunk in chain.from_iterable(cut) if chunk not in self.known]))
+        short, long = [c for c in new if len(c) <= LONG], [c for c in new if len(c) > LONG]
+        # in the order in which they are tokenised, so each keeps its place
+        self.known.update(zip(short, range(len(self.known), len(self.known) + len(short))))
+        self._add(list(self.aligner.chunks(short)))
+        beside = dict(zip(long, range(len(self.known), len(self.known) + len(long))))
+        self._add(list(self.aligner.chunks(long)))
+        numbered = [list(map(self.known.get, chunks)) for chunks in cut]
+        if beside:
+            numbered = [[beside[c] if k is None else k for k, c in zip(own, chunks)] for own, chunks in zip(numbered, cut)]
+        count = np.array([len(own) for own in numbered], np.int64)
+        places = np.fromiter(chain.from_iterable(numbered), np.int64, int(count.sum()))
+        bad = np.zeros(len(texts), bool)
+        bad[np.repeat(np.arange(len(texts)), count)[self.numbers[0, places] == 0]] = True
+        whole = np.flatnonzero(bad | (count == 0)).tolist()
+        for k in whole:
+            found = self.aligner.whole(texts[k])
+            numbered[k] = [len(self.groups)] if found.numbers[0, 0] else []
+            if numbered[k]:
+                self._add([found])
+        if whole:
+            count = np.array([len(own) for own in numbered], np.int64)
+            places = np.fromiter(chain.from_iterable(numbered), np.int64, int(count.sum()))
+        return places, count
+
+    def links_of(self, places: np.ndarray) -> np.ndarray:
+        """The links of these chunks one after the other."""
+        often = self.numbers[3, places].astype(np.int64)
+        return self.links[np.repeat(self.starts[places] - often.cumsum() + often, often) + np.arange(often.sum())]
+
+    def forget(self, places: np.ndarray) -> None:
+        """Drop what is not remembered: long chunks, whole texts, and the less used half if there are too many."""
+        n = len(self.known)
+        self.uses = np.concatenate((self.uses, np.zeros(n - len(self.uses), np.int32)))
+        self.uses += np.bincount(places[places < n], minlength=n).astype(np.int32)
+        if n > self.size:
+            keep = np.sort(np.argpartition(-self.uses, self.size // 2)[:self.size // 2])
+            chunks = list(self.known)
+            self.known = {chunks[k]: i for i, k in enumerate(keep.tolist())}
+            self.links = self.links_of(keep)
+            self.groups = [self.groups[k] for k in keep.tolist()]
+            self.numbers, self.uses = self.numbers[:, keep], self.uses[keep] // 2
+            self.starts = np.concatenate(([0], self.numbers[3].cumsum(dtype=np.int64)))
+        elif len(self.groups) > n:
+            del self.groups[n:]
+            self.numbers, self.starts, self.links = self.numbers[:, :n].copy(), self.starts[:n + 1].copy(), self.links[:self.starts[n]].copy()
 
 
 _PAIRS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())]))
@@ -286,12 +289,17 @@ def _worker(models) -> Chunks:
     return _WORKER[key]
 
 
-def _pairs(codes: list[np.ndarray], times: list[np.ndarray]) -> pa.Array:
-    flat, often = np.concatenate([*codes, np.zeros(0, np.int64)]), np.concatenate([*times, np.zeros(0, np.int64)])
-    entries = pa.StructArray.from_arrays(
-        [pa.array((flat >> 32).astype(np.int32)), pa.array((flat & 0xFFFFFFFF).astype(np.int32)), pa.array(often.astype(np.int32))], fields=list(_PAIRS.value_type),
-    )
-    return pa.ListArray.from_arrays(np.cumsum([0] + [len(c) for c in codes]).astype(np.int32), entries)
+def _listed(a: np.ndarray, b: np.ndarray, often: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Pairs as a list for each row; `ends` has where each row's begin, and the end."""
+    entries = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (a, b, often)], fields=list(_PAIRS.value_type))
+    return pa.ListArray.from_arrays(ends.astype(np.int32), entries)
+
+
+def _pairs(links: np.ndarray, count: np.ndarray, ids_a: int, ids_b: int) -> pa.Array:
+    """Distinct links of each row and how often each comes; `count` is how many links a row has."""
+    code, often = np.unique(np.repeat(np.arange(len(count)), count) * (ids_a * ids_b) + links, return_counts=True)
+    own, link = np.divmod(code, ids_a * ids_b)
+    return _listed(*np.divmod(link, ids_b), often, np.searchsorted(own, np.arange(len(count) + 1)))
 
 
 def aligned_documents(models, keep_groups: bool):
@@ -301,21 +309,18 @@ def aligned_documents(models, keep_groups: bool):
         chunks = _worker(models.value)
         row = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, "text"):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            columns: list[list] = [[] for _ in range(8)]
-            codes, times = [], []
-            for key, found in zip(batch.column(0).to_pylist(), chunks.of(texts)):
-                n_a, n_b, parts, n_groups, links = zip(*found) if found else ((),) * 5
-                groups = ";".join(parts)
-                code, often = np.unique(np.array(list(chain.from_iterable(links)), np.int64), return_counts=True)
-                codes.append(code)
-                times.append(often)
-                digest = hashlib.sha256(groups.encode()).hexdigest() if found else ""
-                values = (row, key, sum(n_a), sum(n_b), sum(n_groups), int(often.sum()), groups if keep_groups else None, digest)
-                for column, value in zip(columns, values):
-                    column.append(value)
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ALIGNED)] + [_pairs(codes, times)], schema=_ALIGNED)
+            places, count = chunks.of([t or "" for t in batch.column(1).to_pylist()])
+            ends = np.concatenate(([0], count.cumsum()))
+            written = list(map(chunks.groups.__getitem__, places.tolist()))
+            groups = ["".join(written[i:j])[:-1] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            sums = [np.diff(np.concatenate(([0], n[places].cumsum(dtype=np.int64)))[ends]) for n in chunks.numbers]
+            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+            pairs = _pairs(chunks.links_of(places), sums[3], len(chunks.aligner.size_a), len(chunks.aligner.size_b))
+            chunks.forget(places)
+            n = batch.num_rows
+            columns = [np.arange(row, row + n), batch.column(0), *sums, groups if keep_groups else pa.nulls(n, pa.string()), digests]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, _ALIGNED)] + [pairs], schema=_ALIGNED)
+            row += n
 
     return run
 
@@ -343,10 +348,9 @@ def _looked_up(common):
             if known.any():
                 np.add.at(sums[0], owner[known], (often * best[at])[known])
                 np.add.at(sums[1], owner[known], (often * docs[at])[known])
-            left = np.bincount(owner[~known], minlength=len(count))
-            cut = np.split(np.flatnonzero(~known), np.cumsum(left)[:-1]) if len(count) else []
+            rest = _listed(a[~known], b[~known], often[~known], np.searchsorted(owner[~known], np.arange(len(count) + 1)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sums[0]), pa.array(sums[1]), _pairs([code[c] for c in cut], [often[c] for c in cut])],
+                [*batch.columns[:-1], pa.array(sums[0]), pa.array(sums[1]), rest],
                 names=[*batch.schema.names[:-1], "n_best", "count_sum", "rest"],
             )
 
@@ -374,11 +378,14 @@ def align_tokens(
     held = spark.sparkContext.broadcast((code[order], most["docs"].to_numpy()[order], most["best"].to_numpy(zero_copy_only=False)[order]))
     run, schema = _looked_up(held)
     sums = aligned.mapInArrow(run, schema)
+    total = lambda name, more=F.lit(0): (F.col(name) + F.coalesce(more, F.lit(0))).cast("long").alias(name)
+    kept = [F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links"]
+    digests = ["groups_sha256", *(["groups"] if keep_groups else [])]
+    if most.num_rows < common:  # the table holds all pairs
+        return sums.select(*kept, total("n_best"), total("count_sum"), *digests)
     rest = aligned.select(*[F.col("row") if c == "row" else F.lit(None).cast(aligned.schema[c].dataType).alias(c) for c in aligned.columns[:-1]], "pairs")
     rest = rest.mapInArrow(run, schema).select("row", F.inline("rest")).join(counts, ["a", "b"])
     more = rest.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times"))).alias("more_best"), F.sum(F.col("times") * F.col("docs")).alias("more_sum"))
     more.write.parquet(path + "-rest")
-    more = spark.read.schema(more.schema).parquet(path + "-rest")  # Spark knows its size: mostly nothing, and then no row is moved for it
-    total = lambda name, more: (F.col(name) + F.coalesce(more, F.lit(0))).cast("long").alias(name)
-    kept = [F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", total("n_best", "more_best"), total("count_sum", "more_sum"), "groups_sha256"]
-    return sums.join(more, "row", "left").select(*kept, *(["groups"] if keep_groups else []))
+    more = spark.read.schema(more.schema).parquet(path + "-rest")  # Spark knows its size: mostly little, and then no row is moved for it
+    return sums.join(more, "row", "left").select(*kept, total("n_best", F.col("more_best")), total("count_sum", F.col("more_sum")), *digests)

@@ -1,10 +1,14 @@
 import bisect
+import cProfile
 import hashlib
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ripplet.llm import token_alignment
 from ripplet.llm.centroid_clusters import centroid_clusters
 from ripplet.llm.line_dedup import LineRuns, dedup_lines
 from ripplet.llm.token_alignment import FOLDER, RESULTS, Tokenizers, align_tokens, read_models
@@ -195,3 +199,31 @@ def test_alignment_of_empty_tables(spark):
     assert align_tokens(docs.limit(0), keep_groups=False).count() == 0
     assert [tuple(r) for r in align_tokens(docs.where("text IS NULL"), keep_groups=False).collect()] == [(5, 0, 0, 0, 0, 0, 0, "")]
     assert checkpoint_dir(spark)
+
+
+def test_alignment_with_little_memory_and_few_calls(spark, monkeypatch):
+    models = spark.sparkContext.broadcast(read_models(f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"))
+    monkeypatch.setattr(token_alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = token_alignment.aligned_documents(models, True)
+    batch = lambda data: pa.RecordBatch.from_arrays([pa.array([d[0] for d in data], pa.int64()), pa.array([d[1] for d in data], pa.string())], ["id", "text"])
+
+    data = rows() + token_rows()
+    worker = token_alignment._worker(models.value)
+    wanted = sorted((repr(w[0]), *w[1:5], *w[7:]) for w in plain_alignment(data))
+    for size in (0, 1, 100, 1 << 19):
+        worker.size = size
+        for _ in range(2):
+            found = pa.Table.from_batches(run(batch(data[k:k + 5]) for k in range(0, len(data), 5))).to_pylist()
+            assert sorted((repr(r["id"]), *[r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups")]) for r in found) == wanted
+            assert all(sum(p["times"] for p in r["pairs"]) == r["n_links"] for r in found)
+            assert len(worker.known) <= size
+
+    new = [row(1, " ".join(f"left{k}right{k * k}" for k in range(8000)))]
+    profile = cProfile.Profile()
+    profile.runcall(lambda: list(run(iter([batch(new)]))))
+    assert sum(e.callcount for e in profile.getstats() if hasattr(e.code, "co_filename")) < 4000  # of Python functions, for 8000 new chunks
+
+
+def test_alignment_reads_its_documents_once_if_all_pairs_are_held(spark):
+    docs = documents(spark)
+    assert [str(align_tokens(docs, common=n)._jdf.queryExecution().analyzed()).count("Join") for n in (1 << 18, 5)] == [0, 1]
