@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from ripplet.functions.ids import edge_id
 from ripplet.operators import traverse
 from ripplet.operators.rank import path_groups
 from ripplet.operators.traverse import dedupe_paths, evidence_paths, expand_paths
@@ -123,3 +124,20 @@ def test_groups_move_only_what_is_read(spark):
     moved = plan[plan.index("hashpartitioning(node#"):].splitlines()[1]
     assert "ahead" not in moved and "node_ids" not in moved
     assert {(r.id, r.independent) for r in counts.collect()} == {(1, 2), (2, 2), (3, 2)}
+
+
+def test_ids_that_follow_from_the_ends_are_not_moved(spark):
+    rng = random.Random(5)
+    plain = [(rng.choice(["CALLS", "IMPORTS", "TESTS"]), rng.randrange(12), rng.randrange(12)) for _ in range(70)]
+    plain += [("CALLS", 1, 2), ("CALLS", 2, 1), ("CALLS", 1, 2)]
+    bare = spark.createDataFrame(plain, "type string, source bigint, target bigint")
+    table = bare.withColumn("id", edge_id(bare["type"], bare["source"], bare["target"]))
+    starts = seeds(spark, [1, 2, 7])
+    links = traverse.neighbours(bare, traverse.TRAVERSED_TYPES, 10)
+    assert dict(links.dtypes)["id"] == "boolean"
+    for limit in (5, 40):
+        for found in (expand_paths, evidence_paths):
+            shown = [[
+                (r.seed_id, r.node_ids, [(x.type, x.source, x.target) for x in r.rels], r.types, r.ahead, r.hops)
+                for r in found(e, starts, 2, limit).collect()] for e in (table, bare)]
+            assert sorted(map(str, shown[0])) == sorted(map(str, shown[1])) and len(shown[0]) > 10
