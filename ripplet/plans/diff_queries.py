@@ -12,7 +12,7 @@ from ripplet.operators.pack import select_hunks
 from ripplet.operators.view import agent_diff
 from ripplet.plans.graph_sql import sid
 from ripplet.plans.registry import query
-from ripplet.session import cut_lineage, stored, table
+from ripplet.session import by_key, cut_lineage, stored, table
 
 
 def _path(prefix: str = "docs/d"):
@@ -147,7 +147,7 @@ def change_sets(spark, d):
     found, files, _ = document_seeds(spark, d)
     graph = ops.change_set(files, cut_lineage(found), "docs", "HEAD", F.col("doc_id").cast("string"), key="doc_id")
     names = graph.nodes.select(F.col("id").alias("source"), "summary")
-    return graph.edges.join(names, "source").select("source", "target", "type", "summary")
+    return graph.edges.join(by_key(names), "source").select("source", "target", "type", "summary")
 
 
 @query(
